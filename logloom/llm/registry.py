@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import decontaminate, html_text, licenses, mixing, quality_rules, sharding, warc
+from logloom.llm import decontaminate, html_text, licenses, mixing, quality_rules, sharding, substrings, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
         "op2_warc": warc.op2_warc,
+        "op3_substrings": substrings.op3_substrings,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op6_html_text": html_text.op6_html_text,
         "op7_quality_rules": quality_rules.op7_quality_rules,
@@ -26,6 +27,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": mixing.oracle_sql(),
         "op2_warc": warc.oracle_sql(),
+        "op3_substrings": substrings.oracle_sql(),
         "op4_decontaminate": decontaminate.oracle_sql(),
         "op9_sharding": sharding.oracle_sql(),
     }
