@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import decontaminate, html_text, licenses, mixing, quality_rules, sharding, substrings, warc
+from logloom.llm import decontaminate, html_text, licenses, mixing, ngram_join, quality_rules, sharding, substrings, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op6_html_text": html_text.op6_html_text,
         "op7_quality_rules": quality_rules.op7_quality_rules,
+        "op8_ngram_join": ngram_join.op8_ngram_join,
         "op9_sharding": sharding.op9_sharding,
         "op10_licenses": licenses.op10_licenses,
     }
