@@ -60,9 +60,9 @@ def target_rates(docs: DataFrame, weights: dict[str, float], epochs: float = EPO
     return {g: epochs * share[g] * total / sums[g] if sums.get(g) else 0.0 for g in share}
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] = TARGETS, epochs: float = EPOCHS, seed: str = SEED, source: str = "source", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] = TARGETS, epochs: float = EPOCHS, seed: str = SEED, source: str = "source", doc_id: str = "doc_id", text: str = "text", copy_no: str = "copy_no", shuffle_key: str = "shuffle_key") -> DataFrame:
     """docs with each row repeated by its Poisson count, shuffled, with ``copy_no`` and ``shuffle_key``."""
-    docs = docs.drop("copy_no", "shuffle_key")
+    docs = docs.drop(copy_no, shuffle_key)
     rates = target_rates(docs, weights, epochs, source, text)
     key, u, n = free_name(docs, "key_"), free_name(docs, "u_"), free_name(docs, "n_")
     steps = lambda g: F.array(*[F.lit(x) for x in poisson_cdf(rates[g])]).cast("array<double>")
@@ -78,9 +78,9 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] = TARGETS, epochs: fl
         .withColumn(n, F.size(F.filter(cdf, lambda c: c <= F.col(u))))
         .filter(F.col(n) > 0)
     )
-    copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
-    copies = copies.withColumn("shuffle_key", integer(f"{seed}|order", F.col(key), F.lit("|"), F.col("copy_no").cast("string")))
-    return copies.drop(key, u, n).repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
+    copies = counted.withColumn(copy_no, F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    copies = copies.withColumn(shuffle_key, integer(f"{seed}|order", F.col(key), F.lit("|"), F.col(copy_no).cast("string")))
+    return copies.drop(key, u, n).repartition(F.col(shuffle_key)).sortWithinPartitions(shuffle_key)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

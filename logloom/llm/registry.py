@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import decontaminate, html_text, licenses, mixing, ngram_join, quality_rules, sharding, substrings, warc
+from logloom.llm import classifier, decontaminate, html_text, licenses, mixing, ngram_join, quality_rules, sharding, substrings, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_warc": warc.op2_warc,
         "op3_substrings": substrings.op3_substrings,
         "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op5_classifier": classifier.op5_classifier,
         "op6_html_text": html_text.op6_html_text,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_ngram_join": ngram_join.op8_ngram_join,
