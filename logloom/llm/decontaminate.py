@@ -6,7 +6,9 @@ Seeds of documents are joined to seeds of benchmark items; an equal seed propose
 two texts there. Each distinct alignment is verified over the whole item: it is a leak when of
 some WINDOW aligned words NEED are equal (for shorter items, that share of the item).
 
-The benchmark's seeds are broadcast up to BROADCAST_SEEDS of them, which are counted first, so
+The masks have their first ones in common. A bitmap of fixed size tells which words the benchmark
+has; only where it has the words under those ones are a document's seeds made at all. The
+benchmark's seeds are broadcast up to BROADCAST_SEEDS of them, which are counted first, so
 documents' seeds meet them in the scan and are never shuffled; more are joined by shuffle.
 Alignments are few, and bring the words of their documents alone by a join on the row's key.
 
@@ -24,41 +26,67 @@ from pyspark.sql import functions as F
 
 from logloom.llm.common import free_name, materialize, row_key, table
 
-#: Ones are the words that a seed hashes.
-MASKS = ("11011001", "10110101", "1111010")
+#: Ones are the words that a seed hashes; all masks are as long, and begin with LEAD.
+MASKS = ("11011001", "11010110", "11010011")
+LEAD = (0, 1, 3)
+#: One byte each.
+BITMAP_CELLS = 1 << 14
 WINDOW, NEED = 13, 10
 MIN_WORDS = 8
 BROADCAST_SEEDS = 500_000
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value made once; a plain projection would be copied into each lambda that uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def word_ids(text: Column) -> Column:
     """The hashed words of a text."""
     parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
     return F.transform(F.filter(parts, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _seeds(ids: str) -> Column:
-    """For each mask in turn the seed at each word, null where the mask is longer than what is left."""
+def _cell(word: Column) -> Column:
+    return F.shiftrightunsigned(word, 32).bitwiseAND(BITMAP_CELLS - 1).cast("int")
+
+
+def vocabulary(items: DataFrame, ids: str) -> Column:
+    """The bitmap of the words of ids, a literal of BITMAP_CELLS bytes; as many rows at most come to the driver."""
+    rows = items.select(F.explode_outer(ids).alias("w")).filter("w is not null").select(_cell(F.col("w")).alias("at")).distinct()
+    cells = bytearray(BITMAP_CELLS)
+    for r in rows.collect():
+        cells[r["at"]] = 1
+    return F.lit(bytes(cells))
+
 
-    def of(k: int, mask: str) -> Column:
-        ones = [j for j, c in enumerate(mask) if c == "1"]
-        seed = lambda i: F.xxhash64(F.lit(k), *[F.get(F.col(ids), i + j) for j in ones])
-        return F.transform(F.col(ids), lambda _, i: F.when(i <= F.size(ids) - len(mask), seed(i)))
+def seed_rows(df: DataFrame, ids: str, *keep: str, known: Column | None = None) -> DataFrame:
+    """keep, pos and seed of each seed of each row; with ``known`` only where the bitmap has the LEAD words."""
 
-    return F.concat(*[of(k, m) for k, m in enumerate(MASKS)])
+    def places(words: Column) -> Column:
+        def at(first: Column, i: Column) -> Column:
+            word = lambda j: F.get(words, i + j) if j else first
+            here = i <= F.size(words) - len(MASKS[0])
+            for j in LEAD if known is not None else ():
+                here = here & (F.substring(known, _cell(word(j)) + 1, F.lit(1)) == F.lit(b"\x01"))
+            seeds = [F.xxhash64(F.lit(k), *[word(j) for j, c in enumerate(m) if c == "1"]) for k, m in enumerate(MASKS)]
+            return F.when(here, F.struct(i.alias("pos"), F.array(*seeds).alias("seeds")))
 
+        return F.filter(F.transform(words, at), lambda x: x.isNotNull())
 
-def seed_rows(df: DataFrame, ids: str, *keep: str) -> DataFrame:
-    """keep, seed and pos (the word it begins at) of each seed of each row."""
-    rows = df.select(*keep, F.size(ids).alias("n_"), F.posexplode(_seeds(ids)).alias("at_", "seed"))
-    return rows.filter(F.col("seed").isNotNull()).select(*keep, "seed", (F.col("at_") % F.col("n_")).cast("int").alias("pos"))
+    # outer: else the optimizer tests the size of what is exploded, and so makes it twice
+    rows = df.select(*keep, F.explode_outer(_let(F.col(ids), places)).alias("s_")).filter("s_ is not null")
+    return rows.select(*keep, F.col("s_.pos").alias("pos"), F.explode_outer("s_.seeds").alias("seed"))
 
 
 def _best(same: Column) -> Column:
     """The most equal words of any WINDOW consecutive ones, or of all where they are fewer."""
-    last = F.greatest(F.size(same) - WINDOW, F.lit(0))
-    sums = F.transform(F.sequence(F.lit(0), last), lambda j: F.aggregate(F.slice(same, j + 1, WINDOW), F.lit(0), lambda s, x: s + x))
-    return F.array_max(sums)
+
+    def of(same: Column) -> Column:
+        last = F.greatest(F.size(same) - WINDOW, F.lit(0))
+        return F.array_max(F.transform(F.sequence(F.lit(0), last), lambda j: F.aggregate(F.slice(same, j + 1, WINDOW), F.lit(0), lambda s, x: s + x)))
+
+    return _let(same, of)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
@@ -68,11 +96,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: i
     seeds = materialize(seed_rows(items, "item_ids", "item_no").withColumnRenamed("pos", "item_pos"))
     small = seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds
     rows = docs.select(row_key().alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    found = seed_rows(rows.select("key", word_ids(F.col("text")).alias("ids")), "ids", "key").join(F.broadcast(seeds) if small else seeds, "seed")
+    known = vocabulary(items, "item_ids")
+    found = seed_rows(rows.select("key", word_ids(F.col("text")).alias("ids")), "ids", "key", known=known).join(F.broadcast(seeds) if small else seeds, "seed")
     aligned = materialize(found.select("key", "item_no", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct())
     items = F.broadcast(items) if small else items
-    pairs = rows.join(aligned, "key").join(items, "item_no").withColumn("ids", word_ids(F.col("text")))
-    same = F.transform("item_ids", lambda x, j: F.when(j + F.col("shift") >= 0, F.coalesce((F.get(F.col("ids"), j + F.col("shift")) == x).cast("int"), F.lit(0))).otherwise(0))
+    pairs = rows.join(aligned, "key").join(items, "item_no")
+
+    def equal_words(ids: Column) -> Column:
+        return F.transform("item_ids", lambda x, j: F.when(j + F.col("shift") >= 0, F.coalesce((F.get(ids, j + F.col("shift")) == x).cast("int"), F.lit(0))).otherwise(0))
+
+    same = _let(word_ids(F.col("text")), equal_words)
     need = F.least(F.lit(NEED), F.ceil(F.size("item_ids") * (NEED / WINDOW)).cast("int"))
     leaks = pairs.select("key", "doc_id", "item_id", "shift", need.alias("need"), _best(same).alias("n_equal")).filter(F.col("n_equal") >= F.col("need"))
     return leaks.groupBy("key", "doc_id", "item_id").agg(F.max("n_equal").alias("n_equal"), F.countDistinct("shift").alias("n_alignments"))
