@@ -36,9 +36,9 @@ from logloom.llm import tokens
 from logloom.llm.common import materialize, table
 
 K, M = 50, 3
-PIECE = 12 << 20
+PIECE = 10 << 20
 #: Bytes of packed strings that a bucket is planned to hold, and may hold.
-BUCKET_BYTES, BUCKET_LIMIT = 12 << 20, 256 << 20
+BUCKET_BYTES, BUCKET_LIMIT = 6 << 20, 64 << 20
 #: Bytes of super-k-mers for each byte of input files, for planning.
 EXPANSION = 4
 LEVELS = 4
@@ -113,7 +113,7 @@ class Packer:
         by_bucket: dict[int, list] = {}
         for text, (bucket, doc, n, places) in self.entries.items():
             by_bucket.setdefault(bucket, []).append((text, doc, n, places))
-        zip_ = zstandard.ZstdCompressor(level=1)
+        zip_ = zstandard.ZstdCompressor(level=3)
         out = {"bucket": [], "packed": []}
         for bucket, items in by_bucket.items():
             head = np.array([(doc, n, len(places), len(text)) for text, doc, n, places in items], np.int64)
