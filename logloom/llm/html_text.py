@@ -214,10 +214,22 @@ def content_lines(lines: list[tuple[str, int, int, bool, int]]) -> list[str]:
     return [lines[i][0] for i in np.flatnonzero(region)]
 
 
+_HALF_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
+
+
+def whole_markup(html: str) -> str:
+    """html without a comment or tag that its end cuts off; both run to the end, as in browsers."""
+    at = html.rfind("<!--")
+    if at >= 0 and html.find("-->", at) < 0 and html.find("</script", at) < 0:
+        html = html[:at]
+    at = html.rfind("<")
+    return html[:at] if at >= 0 and _HALF_TAG.match(html, at) else html
+
+
 def extract(html: str | None) -> str:
     """The main text of a page, its blocks joined by newlines."""
     parser = Lines()
-    parser.feed(html or "")
+    parser.feed(whole_markup(html or ""))
     parser.close()
     return "\n".join(content_lines(parser.lines))
 

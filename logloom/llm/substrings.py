@@ -42,6 +42,7 @@ BUCKET_BYTES, BUCKET_LIMIT = 6 << 20, 64 << 20
 #: Bytes of super-k-mers for each byte of input files, for planning.
 EXPANSION = 4
 LEVELS = 4
+UNKNOWN = 1 << 56
 NO_ID = np.iinfo(np.int64).max
 KEPT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.StringType())])
 SETTLED = "bucket int, packed binary, doc long, row_hash long, first int, last int"
@@ -307,8 +308,10 @@ def _settle(buckets: int, k: int, level: int):
 def planned_buckets(docs: DataFrame) -> int:
     """From the size that the optimizer knows of the input, and the session's shuffle partitions."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > UNKNOWN:  # what the optimizer says of rows that come from no files
+        size = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, math.ceil(EXPANSION * min(size, 1 << 56) / BUCKET_BYTES))
+    return max(least, math.ceil(EXPANSION * size / BUCKET_BYTES))
 
 
 def _runs(keyed: DataFrame, k: int, buckets: int) -> DataFrame:
