@@ -2,16 +2,21 @@
 
 A document's set holds its distinct shingles of N words, ordered from rare to frequent by counts
 over the corpus, ties by hash. Of two sets whose similarity is T or more, the first
-``n - ceil(T n) + l`` shingles have l in common. Each document takes the l with the least
-estimated cost: its prefix rows, and the candidates they bring, at most the prefix's summed
-frequencies over l. A pair is a candidate when it shares the smaller l of the two.
+``n - ceil(T n) + l`` shingles have l in common. Each document takes an l of n / 8 or a multiple,
+the one with the least estimated cost: its prefix rows, and the candidates they bring, at most
+the prefix's summed frequencies over l. A pair is a candidate when it shares the smaller l of the
+two, and so many shingles of its prefixes that with all that lies behind the one that ends first
+it could still be similar enough.
 
 1. One pass writes each row's set size and signature, and the shingles met more than once in a
    piece of the input, with a pivot. Rows of one signature are one class from here on.
-2. A second pass writes the prefixes. Shingles of the bounded table of frequent ones send no
-   prefix row: a document is tied to the shingle's pivot instead, which costs one edge however
-   many share it. Other shingles meet by shuffle: small groups give pairs, others are tied to
-   their first member. So no group is expanded into all pairs, and no candidate is lost.
+2. A second pass writes the prefixes. Since every document's l grows with its set, a linked pair
+   shares at least ``least_shared`` prefix shingles, and each document can leave out nearly half
+   as many without losing a pair: its most frequent ones go. Shingles of the bounded table of frequent ones that stay send no prefix row:
+   the document is tied to the shingle's pivot, which costs one edge however many share it.
+   Other shingles meet by shuffle: small groups give pairs; of large groups each document leaves
+   out as many as it still can, and what stays is tied to the group's first member. So no large
+   group is expanded into pairs, and no linked pair is lost.
 3. The ties' components are clusters. A cluster's texts meet in blocks of bounded size, each pair
    of blocks in one task, where intersections are counted exactly. Links found there are
    reduced to a spanning forest, and joined over blocks by connected components.
@@ -32,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from logloom.llm import tokens
 from logloom.llm.common import free_name, materialize, table
@@ -42,8 +48,8 @@ T_NUM, T_DEN = 3, 4
 #: Bytes of text within which shingles are counted before the counts are summed.
 PIECE = 12 << 20
 #: Shingles that the table of frequent ones holds at most, and the least count it takes.
-FREQUENT, LEAST_COUNT = 1 << 18, 12
-MAX_MATCHES = 8
+FREQUENT, LEAST_COUNT = 1 << 18, 8
+EIGHTH, MULTIPLES = 8, (1, 2, 3)
 #: Cost of verifying a candidate, in prefix rows.
 VERIFY_COST = 4.0
 #: Members of a prefix group that are paired; larger ones are tied to a pivot.
@@ -52,6 +58,8 @@ PAIRED = 16
 BLOCK = 1 << 20
 #: Shingle groups up to this size are expanded into pairs within a task, larger ones multiplied as a matrix.
 DENSE = 48
+PREFIX = "shingle long, sig long, matches int, n int, rest int, known int, spare int"
+MET = "a long, b long, need int, shingle long, spare int"
 STATS = "doc_id long, row_hash long, n int, sig long, shingle long, df int, pivot long"
 
 
@@ -124,27 +132,43 @@ def _stats(n: int):
     return run
 
 
-def choose_prefixes(row: np.ndarray, df: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """l and prefix length of each row, whose shingles come in order of df."""
+def least_matches(n: np.ndarray) -> np.ndarray:
+    """The smallest l that a set of n takes; never more for a smaller set."""
+    return np.maximum(1, n // EIGHTH)
+
+
+def least_shared(n: np.ndarray) -> np.ndarray:
+    """What the prefixes of a set of n and of any linked set, which has T n shingles or more, surely share."""
+    return least_matches(-(-T_NUM * n // T_DEN))
+
+
+def choose_prefixes(row: np.ndarray, df: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """l, prefix length and number of shingles that can be left out, of each row, whose shingles come in order of df.
+
+    Two linked sets leave out fewer than the smaller one's least l: of both, half of what a set
+    with T of its own size takes, less one.
+    """
     size = np.bincount(row, minlength=n_rows)
     start = np.cumsum(size) - size
     overlap = -(-T_NUM * size // T_DEN)
     total = np.append(0.0, np.cumsum(df - 1.0))
+    base = least_matches(size)
+    spare = np.where(size > 0, (least_shared(size) - 1) // 2, 0)
     best = np.full(n_rows, np.inf)
-    matches, length = np.ones(n_rows, np.int64), np.minimum(size, size - overlap + 1)
-    for m in range(1, MAX_MATCHES + 1):
-        plen = size - overlap + m
+    matches, length = np.ones(n_rows, np.int64), np.zeros(n_rows, np.int64)
+    for times in MULTIPLES:
+        m = base * times
         able = (m <= overlap) & (size > 0)
-        plen = np.where(able, plen, 0)
-        cost = np.where(able, plen + VERIFY_COST * (total[start + plen] - total[start]) / m, np.inf)
+        plen = np.where(able, size - overlap + m, 0)
+        cost = np.where(able, plen + VERIFY_COST * (total[start + np.maximum(plen - spare, 0)] - total[start]) / m, np.inf)
         better = cost < best
         best = np.where(better, cost, best)
         matches, length = np.where(better, m, matches), np.where(better, plen, length)
-    return matches, length
+    return matches, length, spare
 
 
 def _prefixes(frequent, n: int):
-    """Prefix rows (shingle, sig, matches), and ties (pivot in place of shingle, matches 0) for frequent shingles."""
+    """Prefix rows PREFIX, and ties (pivot in place of shingle, matches 0) for frequent shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, dfs, pivots = frequent.value
@@ -167,62 +191,72 @@ def _prefixes(frequent, n: int):
                 df = np.where(known, dfs[at], 1) if len(keys) else np.ones(len(own), np.int64)
                 order = np.lexsort((own, df, row))
                 row, own, df, known, at = row[order], own[order], df[order], known[order], at[order]
-                matches, length = choose_prefixes(row, df, b.n)
+                matches, length, spare = choose_prefixes(row, df, b.n)
                 count = np.bincount(row, minlength=b.n)
                 rank = np.arange(len(row)) - (np.cumsum(count) - count)[row]
                 inside = rank < length[row]
                 light = inside & ~known
-                yield _batch(shingle=pa.array(own[light].view(np.int64)), sig=pa.array(sig[row[light]]), matches=pa.array(matches[row[light]].astype(np.int8)))
-                heavy = inside & known
+                frequent_ones = np.bincount(row[inside & known], minlength=b.n)
+                left_out = inside & known & (rank >= (length - spare)[row])
+                spare -= np.bincount(row[left_out], minlength=b.n)
+                of = row[light]
+                ints = {k: pa.array(v[of].astype(np.int32)) for k, v in (("matches", matches), ("n", count), ("rest", count - length), ("known", frequent_ones), ("spare", spare))}
+                yield _batch(shingle=pa.array(own[light].view(np.int64)), sig=pa.array(sig[of]), **ints)
+                heavy = inside & known & ~left_out
                 if heavy.any():
                     ties = np.unique(np.stack([pivots[at[heavy]], sig[row[heavy]]]), axis=1)
                     ties = ties[:, ties[0] != ties[1]]
-                    yield _batch(shingle=pa.array(ties[0]), sig=pa.array(ties[1]), matches=pa.array(np.zeros(ties.shape[1], np.int8)))
+                    zero = pa.array(np.zeros(ties.shape[1], np.int32))
+                    yield _batch(shingle=pa.array(ties[0]), sig=pa.array(ties[1]), matches=zero, n=zero, rest=zero, known=zero, spare=zero)
 
     return run
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b, need, n) from prefix rows sorted by shingle and signature; need 0 marks a tie."""
+    """Pairs (a, b, need) of small groups, and the rows (b, shingle, spare) of large ones, from prefix rows sorted by shingle and signature."""
 
-    def edges(key: np.ndarray, sig: np.ndarray, matches: np.ndarray) -> pa.RecordBatch:
+    def found(key: np.ndarray, sig: np.ndarray, matches: np.ndarray, n: np.ndarray, rest: np.ndarray, known: np.ndarray, spare: np.ndarray) -> Iterator[pa.RecordBatch]:
         first = np.append(True, key[1:] != key[:-1])
         start = np.flatnonzero(first)
-        group = np.cumsum(first) - 1
         size = np.diff(np.append(start, len(key)))
+        small = (size <= PAIRED)[np.cumsum(first) - 1]
         a, b, need = [], [], []
-        small = (size <= PAIRED)[group]
         for lag in range(1, min(PAIRED, int(size.max()))):
             i = np.flatnonzero((key[lag:] == key[:-lag]) & small[lag:])
+            i = i[T_DEN * np.minimum(n[i], n[i + lag]) >= T_NUM * np.maximum(n[i], n[i + lag])]
+            j = i + lag
             a.append(sig[i])
-            b.append(sig[i + lag])
-            need.append(np.minimum(matches[i], matches[i + lag]))
-        big = np.flatnonzero(~small & ~first)
-        a.append(sig[start[group[big]]])
-        b.append(sig[big])
-        need.append(np.zeros(len(big), np.int8))
-        a, b, need = np.concatenate(a), np.concatenate(b), np.concatenate(need).astype(np.int8)
-        return _batch(a=pa.array(a), b=pa.array(b), need=pa.array(need))
+            b.append(sig[j])
+            overlap = -(-T_NUM * (n[i] + n[j]) // (T_NUM + T_DEN))
+            shared = np.maximum(np.minimum(matches[i], matches[j]), overlap - np.maximum(rest[i], rest[j]))
+            need.append(shared - np.minimum(known[i], known[j]))
+        if a:
+            a, b, need = np.concatenate(a), np.concatenate(b), np.concatenate(need)
+            none = pa.nulls(len(a), pa.int64())
+            yield _batch(a=pa.array(a), b=pa.array(b), need=pa.array(need.astype(np.int32)), shingle=none, spare=pa.nulls(len(a), pa.int32()))
+        big = np.flatnonzero(~small)
+        if len(big):
+            yield _batch(a=pa.nulls(len(big), pa.int64()), b=pa.array(sig[big]), need=pa.nulls(len(big), pa.int32()), shingle=pa.array(key[big]), spare=pa.array(spare[big]))
 
     held = None
     for batch in batches:
-        key, sig, matches = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
         if held is not None:
-            key, sig, matches = (np.concatenate(x) for x in zip(held, (key, sig, matches), strict=True))
-        keep = np.ones(len(key), bool)
-        keep[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])
-        key, sig, matches = key[keep], sig[keep], matches[keep]
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        keep = np.ones(len(cols[0]), bool)
+        keep[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
+        cols = [x[keep] for x in cols]
+        key = cols[0]
         cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
-        if len(key) - cut > 4 * PAIRED:  # a large group streams by: its first member and the rest met so far are enough
-            yield edges(key, sig, matches)
-            last = min(len(key), cut + 2 * PAIRED)
-            held = key[cut:last], sig[cut:last], matches[cut:last]
+        if len(key) - cut > 4 * PAIRED:  # a large group streams by; enough of it stays to tell that it is large
+            yield from found(*cols)
+            held = [x[cut : cut + 2 * PAIRED] for x in cols]
             continue
         if cut:
-            yield edges(key[:cut], sig[:cut], matches[:cut])
-        held = key[cut:], sig[cut:], matches[cut:]
+            yield from found(*[x[:cut] for x in cols])
+        held = [x[cut:] for x in cols]
     if held is not None and len(held[0]):
-        yield edges(*held)
+        yield from found(*held)
 
 
 def linked_pairs(row: np.ndarray, own: np.ndarray, n_rows: int, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -361,10 +395,21 @@ def similar_documents(docs: DataFrame, n: int = N) -> DataFrame:
     order = np.argsort(keys)
     frequent = spark.sparkContext.broadcast((keys[order], top["df"].to_numpy(np.int64)[order], top["pivot"].to_numpy(np.int64)[order]))
 
-    prefixes = rows.select("text").mapInArrow(_prefixes(frequent, n), "shingle long, sig long, matches byte")
+    prefixes = rows.select("text").mapInArrow(_prefixes(frequent, n), PREFIX)
     salt = F.when(F.col("matches") == 0, F.hash("sig")).otherwise(0)  # ties need not meet
-    met = prefixes.repartition(F.col("shingle"), salt).sortWithinPartitions("shingle", "sig").mapInArrow(_meet, "a long, b long, need byte")
-    pairs = met.groupBy("a", "b").agg(F.min("need").alias("need"), F.count(F.lit(1)).alias("n")).filter("n >= need").select("a", "b")
+    met = materialize(prefixes.repartition(F.col("shingle"), salt).sortWithinPartitions("shingle", "sig").mapInArrow(_meet, MET))
+    large = met.filter("shingle is not null").groupBy("shingle", "b").agg(F.min("spare").alias("spare"))
+    groups = large.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"))
+    ranked = materialize(large.join(groups, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("size"), "shingle"))))
+    stay = ranked.filter("rank > spare").select("shingle", "b")
+    firsts = materialize(stay.groupBy("shingle").agg(F.min("b").alias("a"), F.count(F.lit(1)).alias("n_")).filter("n_ > 1").select("shingle", "a"))
+    ties = met.filter("need = 0 and shingle is null and a is not null").select("a", "b").unionByName(stay.join(firsts, "shingle").filter("a <> b").select("a", "b"))
+    # shared shingles of large groups are not counted in pairs
+    uncounted = materialize(ranked.groupBy("b").agg(F.count(F.lit(1)).alias("more")))
+    pairs = met.filter("need is not null and shingle is null").groupBy("a", "b").agg(F.min("need").alias("need"), F.count(F.lit(1)).alias("n_"))
+    pairs = pairs.join(uncounted.select(F.col("b").alias("a"), F.col("more").alias("more_a")), "a", "left").join(uncounted.withColumnRenamed("more", "more_b"), "b", "left")
+    both = F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0)))
+    pairs = pairs.filter(F.col("n_") >= F.col("need") - both).select("a", "b").unionByName(ties)
     clusters = connected(pairs)
     members = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
 
@@ -397,7 +442,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tie = b.column(2).to_numpy(zero_copy_only=False) == 0
             if tie.any():
                 t = b.filter(pa.array(tie))
-                ties.append(_batch(a=t.column(0), b=t.column(1), need=t.column(2)))
+                ties.append(_batch(a=t.column(0), b=t.column(1), need=t.column(2), shingle=pa.nulls(len(t), pa.int64()), spare=pa.nulls(len(t), pa.int32())))
             if not tie.all():
                 yield b.filter(pa.array(~tie))
 
@@ -428,3 +473,18 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
         empty = F.coalesce(F.trim(F.regexp_replace("text", r"[\x09-\x0D]", " ")), F.lit("")) == ""
         kept = kept.filter(empty).unionByName(kept.filter(~empty).dropDuplicates([name]))
     return kept.drop(name)
+
+
+def oracle_sql(n: int = N) -> str:
+    return rf"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+  list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) >= {n} THEN list_distinct(list_transform(range(0, len(w) - {n} + 1), lambda i: array_to_string(list_slice(w, i + 1, i + {n}), ' ')))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM d),
+e AS (SELECT r, len(sh) AS n, unnest(sh) AS x FROM s),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.x = b.x AND a.r <> b.r GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 75 * (na + nb - c)),
+reach(r, t) AS (SELECT r, r FROM s UNION SELECT reach.r, l.b FROM reach JOIN l ON reach.t = l.a),
+low AS (SELECT reach.r, min(s.doc_id) AS component_id FROM reach JOIN s ON s.r = reach.t GROUP BY reach.r),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, CASE WHEN len(sh) = 0 THEN s.doc_id ELSE low.component_id END AS component_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM s JOIN low ON low.r = s.r LEFT JOIN n ON n.a = s.r"""

@@ -96,19 +96,52 @@ def test_one_of_each_group(spark):
     assert j.one_of_each_group(df.limit(0)).count() == 0
 
 
-def test_large_groups_of_rare_shingles_are_tied():
+def test_large_groups_stream_by():
     import pyarrow as pa
 
     n = 500
     key = np.sort(np.concatenate([np.full(n, 7), np.arange(100, 130), [200, 200]]))
     sig = np.concatenate([np.arange(n), np.arange(30), [1, 2]])
-    cols = [pa.array(x) for x in (key, sig, np.ones(len(key), np.int8), np.full(len(key), 10, np.int32), np.full(len(key), 7, np.int32))]
-    whole = pa.RecordBatch.from_arrays(cols, names=["shingle", "sig", "matches", "n", "rest"])
-    edges = set()
+    cols = [pa.array(key), pa.array(sig)] + [pa.array(np.full(len(key), x, np.int32)) for x in (1, 10, 7, 0, 3)]
+    whole = pa.RecordBatch.from_arrays(cols, names=["shingle", "sig", "matches", "n", "rest", "known", "spare"])
+    rows = set()
     for out in j._candidates(iter([whole.slice(i, 60) for i in range(0, len(key), 60)])):
-        edges |= set(zip(*(c.to_pylist() for c in out.columns), strict=True))
-    assert {(a, b) for a, b, need in edges if need == 0} == {(0, i) for i in range(1, n)}
-    assert {(a, b) for a, b, need in edges if need} == {(1, 2)}
+        rows |= set(zip(*(c.to_pylist() for c in out.columns), strict=True))
+    assert {(b, k, s) for a, b, _, k, s in rows if a is None} == {(i, 7, 3) for i in range(n)}
+    assert {(a, b) for a, b, *_ in rows if a is not None} == {(1, 2)}
+
+
+def test_linked_sets_share_what_prefixes_promise():
+    """Random sets at the edge of similarity, whatever multiples of the least l they take and shingles they leave out."""
+    rng = random.Random(9)
+    checked = 0
+    for _ in range(20_000):
+        n, other = rng.randint(1, 150), rng.randint(1, 150)
+        common = -(-3 * (n + other) // 7)
+        if common > min(n, other):
+            continue
+        ids = rng.sample(range(10_000), n + other - common)
+        if rng.random() < 0.5:  # what is not shared is rare or frequent
+            ids = sorted(ids[: n - common]) + sorted(ids[n - common : n], reverse=rng.random() < 0.5) + ids[n:]
+            rank = {v: k for k, v in enumerate(sorted(ids, key=lambda v: (v in ids[n - common : n], v)))}
+            ids = [rank[v] for v in ids]
+        x, y = sorted(ids[:n]), sorted(ids[n - common :])
+        prefix, rest, matches = [], [], []
+        for v in (x, y):
+            overlap = -(-3 * len(v) // 4)
+            base = int(j.least_matches(np.array(len(v))))
+            m = rng.choice([t * base for t in j.MULTIPLES if t * base <= overlap])
+            prefix.append(v[: len(v) - overlap + m])
+            rest.append(overlap - m)
+            matches.append(m)
+        shared = set(prefix[0]) & set(prefix[1])
+        assert len(shared) >= max(min(matches), common - max(rest), *(int(j.least_shared(np.array(len(v)))) for v in (x, y)))
+        for v in prefix:
+            spare = (int(j.least_shared(np.array(len(x if v is prefix[0] else y)))) - 1) // 2
+            shared -= set(rng.sample(sorted(shared), min(spare, len(shared))))
+        assert shared
+        checked += 1
+    assert checked > 3000
 
 
 def test_connected(spark):
