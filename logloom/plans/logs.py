@@ -55,9 +55,9 @@ def segmented(log: DataFrame, budget: int = FLUSH_BYTES) -> DataFrame:
     totals, _PIECES rows, are summed before them; so no task holds the whole log.
     """
     sized = log.withColumn("b_", (F.lit(ENTRY_OVERHEAD) + F.octet_length("k") + F.octet_length("v")).cast("bigint"))
-    ends = log.agg(F.min("seq").alias("lo_"), F.max("seq").alias("hi_"))
-    width = F.greatest(F.lit(1), F.ceil((F.col("hi_") - F.col("lo_") + 1) / _PIECES))
-    pieces = sized.join(F.broadcast(ends)).withColumn("piece_", F.floor((F.col("seq") - F.col("lo_")) / width)).drop("lo_", "hi_")
+    low, high = log.agg(F.min("seq")).scalar(), log.agg(F.max("seq")).scalar()
+    width = F.greatest(F.lit(1), F.ceil((high - low + 1) / _PIECES))
+    pieces = sized.withColumn("piece_", F.floor((F.col("seq") - low) / width))
     before = Window.orderBy("piece_").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.groupBy("piece_").agg(F.sum("b_").alias("sum_")).select("piece_", F.coalesce(F.sum("sum_").over(before), F.lit(0)).alias("before_"))
     inside = Window.partitionBy("piece_").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)

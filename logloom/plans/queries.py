@@ -317,15 +317,14 @@ _LAST = "(SELECT max(seg) FROM seg) - 3"
 def wal_unflushed_segments(spark, sf_dir):
     """Segments without a manifest row, where all but the last three are flushed."""
     seg = logs.segmented(logs.log_user(spark, sf_dir))
-    flushed = seg.select("seg").distinct().join(F.broadcast(seg.agg((F.max("seg") - 3).alias("last")))).filter("seg <= last").select("seg")
+    flushed = seg.select("seg").distinct().filter(F.col("seg") <= seg.agg(F.max("seg") - 3).scalar())
     return seg.join(flushed, "seg", "left_anti").groupBy("seg").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("wal_replay_unflushed", f"{_user()} SELECT k, v, ts, op FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM seg WHERE seg > {_LAST}) WHERE rn = 1")
 def wal_replay_unflushed(spark, sf_dir):
     seg = logs.segmented(logs.log_user(spark, sf_dir))
-    last = seg.agg((F.max("seg") - 3).alias("last"))
-    return ops.replayed(seg.join(F.broadcast(last)).filter("seg > last")).select("k", "v", "ts", "op")
+    return ops.replayed(seg.filter(F.col("seg") > seg.agg(F.max("seg") - 3).scalar())).select("k", "v", "ts", "op")
 
 
 @query("newest_wal", "SELECT arg_max('wal_' || o_orderkey::VARCHAR || '.log', (o_orderdate, o_orderkey)) AS path FROM orders")

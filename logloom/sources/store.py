@@ -14,7 +14,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from logloom.plans.logs import newest
 from logloom.sources.config import StoreConfig
