@@ -17,7 +17,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from logloom.llm.common import free_name, integer, materialize, row_key, table, uniform

@@ -5,7 +5,6 @@ import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from logloom.llm import quality_rules as q
 from logloom.llm import tokens
