@@ -140,31 +140,37 @@ def _covers(rule: Rule, x: dict[str, np.ndarray], n: int) -> np.ndarray:
 
 
 def _grow(x: dict[str, np.ndarray], bad: np.ndarray, most: int) -> Rule:
-    """Adds the condition of the largest gain until no good row is covered."""
+    """Adds the condition of the largest gain until no good row is covered; of equal gains the one in the widest gap."""
     rule: list[Condition] = []
     inside = np.ones(len(bad), bool)
     while len(rule) < most and (inside & ~bad).any():
         p0, n0 = (inside & bad).sum(), (inside & ~bad).sum()
         if not p0:
             break
-        info0, best = np.log2(p0 / (p0 + n0)), (1e-9, None)
+        info0, best = np.log2(p0 / (p0 + n0)), (1e-9, -1.0, None)
         for name, v in x.items():
             own = v[inside]
-            cuts = np.unique(np.quantile(own, np.linspace(0.01, 0.99, 99)))
             order = np.argsort(own)
-            at = np.searchsorted(own[order], cuts, "right")
+            values, at = np.unique(own[order], return_index=True)
+            at = np.append(at[1:], len(own))[:-1]  # rows up to each value but the last
+            gap = np.diff(values)
+            cuts = values[:-1] + gap / 2
+            if not len(cuts):
+                continue
             pos = np.concatenate([[0], np.cumsum(bad[inside][order])])[at]
             neg = at - pos
             for above, p, n in ((False, pos, neg), (True, p0 - pos, n0 - neg)):
                 with np.errstate(divide="ignore", invalid="ignore"):
                     gain = np.where(p > 0, p * (np.log2(p / (p + n)) - info0), -1.0)
-                i = int(np.argmax(gain))
-                if gain[i] > best[0]:
-                    best = (gain[i], Condition(name, above, float(cuts[i])))
-        if best[1] is None:
+                top = np.flatnonzero(gain >= gain.max() - 1e-9)
+                i = int(top[np.argmax(gap[top])])
+                margin = float(gap[i] / (values[-1] - values[0]))
+                if gain[i] > best[0] + 1e-9 or gain[i] > best[0] - 1e-9 and margin > best[1]:
+                    best = (gain[i], margin, Condition(name, above, float(cuts[i])))
+        if best[2] is None:
             break
-        rule.append(best[1])
-        inside &= best[1].holds(x)
+        rule.append(best[2])
+        inside &= best[2].holds(x)
     return tuple(rule)
 
 
@@ -190,7 +196,7 @@ def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, fold: np.ndarray, mos
             break
         rule = _grow({k: v[grow] for k, v in x.items()}, bad[grow], most_conditions)
         rule, p, n = _prune(rule, {k: v[prune] for k, v in x.items()}, bad[prune])
-        if not rule or not p or p < precision * (p + n):
+        if not rule or p < 2 or p < precision * (p + n):
             break
         rules.append(rule)
         left &= ~_covers(rule, x, len(bad))
