@@ -54,6 +54,8 @@ EIGHTH, MULTIPLES = 8, (1, 2, 3)
 VERIFY_COST = 4.0
 #: Members of a prefix group that are paired; larger ones are tied to a pivot.
 PAIRED = 16
+#: Bits of the filter that texts pass before they are shuffled.
+BITS = 1 << 24
 #: Shingles of the texts of a block.
 BLOCK = 1 << 20
 #: Shingle groups up to this size are expanded into pairs within a task, larger ones multiplied as a matrix.
@@ -381,6 +383,27 @@ def _verify(n: int):
     return run
 
 
+def _bitmap(rows: DataFrame) -> np.ndarray:
+    """BITS bits, set for the row_hash of each row; BITS / 64 rows at most come to the driver."""
+    cell = F.pmod(F.col("row_hash"), F.lit(BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (cell % 64).cast("int"))
+    found = rows.groupBy(F.floor(cell / 64).cast("int").alias("at")).agg(F.bit_or(bit).alias("v")).toPandas()
+    out = np.zeros(BITS // 64, np.uint64)
+    out[found["at"].to_numpy(np.int64)] = found["v"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def _only(bitmap):
+    """The rows whose row_hash may be wanted, so that other texts are not shuffled; the join that follows is exact."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = np.mod(batch.column(0).to_numpy(zero_copy_only=False), BITS)
+            yield batch.filter(pa.array((bitmap.value[cell >> 6] >> (cell & 63).astype(np.uint64) & np.uint64(1)) > 0))
+
+    return run
+
+
 def similar_documents(docs: DataFrame, n: int = N) -> DataFrame:
     """doc_id, row_hash, n_shingles, component_id and n_links (other rows it links with) of each row."""
     spark = docs.sparkSession
@@ -419,7 +442,8 @@ def similar_documents(docs: DataFrame, n: int = N) -> DataFrame:
     block = F.pmod(F.hash("sig"), F.col("blocks"))
     dealt = own.join(blocks, "root").select("row_hash", "sig", "copies", "root", block.alias("block"), (F.col("blocks") == 1).alias("whole"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = materialize(dealt.select("row_hash", F.col("root").alias("cluster"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sig", "copies", "block", "whole"))
-    texts = rows.select("row_hash", "text").join(dealt, "row_hash").select("cluster", "i", "j", "sig", "copies", "block", "whole", "text")
+    wanted = rows.select("row_hash", "text").mapInArrow(_only(spark.sparkContext.broadcast(_bitmap(dealt))), "row_hash long, text string")
+    texts = wanted.join(dealt, "row_hash").select("cluster", "i", "j", "sig", "copies", "block", "whole", "text")
     found = texts.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_verify(n), "sig long, root long, links long, whole boolean")
     found = materialize(found)
 

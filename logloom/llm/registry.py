@@ -31,5 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_warc": warc.oracle_sql(),
         "op3_substrings": substrings.oracle_sql(),
         "op4_decontaminate": decontaminate.oracle_sql(),
+        "op8_ngram_join": ngram_join.oracle_sql(),
         "op9_sharding": sharding.oracle_sql(),
     }
