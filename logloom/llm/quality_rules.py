@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,12 +85,13 @@ def block_stats(block: tokens.Block) -> np.ndarray:
     return out
 
 
-@F.pandas_udf(STATS_TYPE)
-def text_stats(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for s in texts:
-        column = pa.Array.from_pandas(s, type=pa.large_string())
+@F.arrow_udf(STATS_TYPE)
+def text_stats(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Arrow arrays, not pandas: texts stay in their buffers and make no Python strings."""
+    for column in texts:
         parts = [block_stats(b) for b in tokens.blocks(column)]
-        yield pd.DataFrame(np.concatenate(parts) if parts else np.zeros((0, len(STATS)), np.int64), columns=list(STATS))
+        rows = np.concatenate(parts) if parts else np.zeros((0, len(STATS)), np.int64)
+        yield pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(STATS))], names=list(STATS))
 
 
 def with_stats(df: DataFrame, out: str = "stats", text: str = "text") -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 SPACES = b" \t\n\x0b\x0c\r"
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACES)] = True
