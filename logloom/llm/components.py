@@ -23,5 +23,5 @@ def connected(edges: DataFrame) -> DataFrame:
         rest = large.join(least.filter("n > 1"), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = materialize(rest.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         # done when every node has one edge, to a node that has none
-        if now.join(now.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+        if now.join(now.select(F.col("a").alias("b")), "b", "left_semi").isEmpty() and now.groupBy("a").count().filter("count > 1").isEmpty():
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -156,3 +156,10 @@ def test_connected(spark):
     got = connected(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r["node"]: r["root"] for r in got} == want and len(got) == len(want)
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("chain", [(1, 3, 4, 5, 2), (1, 5, 4, 3, 2), (1, 2, 5, 4, 6, 3), (1, 2, 6, 4, 5, 3, 7)])
+def test_connected_chain_alone(spark, chain):
+    """Label orders where a round leaves no edge to a node that has one, but two edges at a node."""
+    got = connected(spark.createDataFrame(list(zip(chain, chain[1:], strict=False)), "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == [(i, 1) for i in sorted(chain) if i > 1]
