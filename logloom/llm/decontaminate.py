@@ -2,12 +2,13 @@
 
 Texts become lower-case runs of letters and digits, each hashed. A fixed mask laid at a word
 hashes the words under its ones and ignores the others, so a seed survives substitutions there.
+The masks together fit into every placement of the equal words that the rule below asks for.
 Seeds of documents are joined to seeds of benchmark items; an equal seed proposes to align the
 two texts there. Each distinct alignment is verified over the whole item: it is a leak when of
 some WINDOW aligned words NEED are equal (for shorter items, that share of the item).
 
-The masks have their first ones in common. A bitmap of fixed size tells which words the benchmark
-has; only where it has the words under those ones are a document's seeds made at all. The
+A bitmap of fixed size tells which words the benchmark has; a document's seed is made only where
+it has all words under the mask's ones, as no other can be equal to one of the benchmark. The
 benchmark's seeds are broadcast up to BROADCAST_SEEDS of them, which are counted first, so
 documents' seeds meet them in the scan and are never shuffled; more are joined by shuffle.
 Alignments are few, and bring the words of their documents alone by a join on the row's key.
@@ -21,14 +22,18 @@ doc_id by their text; an empty benchmark leaves all documents clean. Other colum
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm.common import free_name, materialize, row_key, table
 
-#: Ones are the words that a seed hashes; all masks are as long, and begin with LEAD.
+#: Ones are the words that a seed hashes. The SQL seeds with MASKS alone.
 MASKS = ("11011001", "11010110", "11010011")
-LEAD = (0, 1, 3)
+#: For the placements of NEED equal words in WINDOW, or of a shorter item's share, that none of MASKS fits into.
+MORE_MASKS = ("11111", "101000111")
 #: One byte each.
 BITMAP_CELLS = 1 << 14
 WINDOW, NEED = 13, 10
@@ -61,21 +66,25 @@ def vocabulary(items: DataFrame, ids: str) -> Column:
 
 
 def seed_rows(df: DataFrame, ids: str, *keep: str, known: Column | None = None) -> DataFrame:
-    """keep, pos and seed of each seed of each row; with ``known`` only where the bitmap has the LEAD words."""
+    """keep, pos and seed of each seed of each row; with ``known`` only where the bitmap has all words that the seed hashes."""
 
     def places(words: Column) -> Column:
         def at(first: Column, i: Column) -> Column:
-            word = lambda j: F.get(words, i + j) if j else first
-            here = i <= F.size(words) - len(MASKS[0])
-            for j in LEAD if known is not None else ():
-                here = here & (F.substring(known, _cell(word(j)) + 1, F.lit(1)) == F.lit(b"\x01"))
-            seeds = [F.xxhash64(F.lit(k), *[word(j) for j, c in enumerate(m) if c == "1"]) for k, m in enumerate(MASKS)]
-            return F.when(here, F.struct(i.alias("pos"), F.array(*seeds).alias("seeds")))
+            def seed(k: int, mask: str) -> Column:
+                ones = [F.get(words, i + j) if j else first for j, c in enumerate(mask) if c == "1"]
+                # null past the end and for words that are not known
+                return F.when(reduce(and_, [w.isNotNull() for w in ones[1:]]), F.xxhash64(F.lit(k), *ones))
+
+            seeds = F.array(*[seed(k, m) for k, m in enumerate(MASKS + MORE_MASKS)])
+            return F.when(first.isNotNull(), F.struct(i.alias("pos"), F.filter(seeds, lambda x: x.isNotNull()).alias("seeds")))
 
-        return F.filter(F.transform(words, at), lambda x: x.isNotNull())
+        return F.filter(F.transform(words, at), lambda x: F.size(x["seeds"]) > 0)
 
+    words = F.col(ids)
+    if known is not None:
+        words = F.transform(words, lambda w: F.when(F.substring(known, _cell(w) + 1, F.lit(1)) == F.lit(b"\x01"), w))
     # outer: else the optimizer tests the size of what is exploded, and so makes it twice
-    rows = df.select(*keep, F.explode_outer(_let(F.col(ids), places)).alias("s_")).filter("s_ is not null")
+    rows = df.select(*keep, F.explode_outer(_let(words, places)).alias("s_")).filter("s_ is not null")
     return rows.select(*keep, F.col("s_.pos").alias("pos"), F.explode_outer("s_.seeds").alias("seed"))
 
 
