@@ -216,6 +216,12 @@ def lookup_newest(spark, sf_dir):
     return ops.lookup_newest(logs.runs(log), keys)
 
 
+@query("lookup_newest_all", f"{_user()} SELECT k, v, ts FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts DESC, seq DESC) AS rn FROM lat) WHERE rn = 1 AND op = 0")
+def lookup_newest_all(spark, sf_dir):
+    log = logs.log_user(spark, sf_dir)
+    return ops.lookup_newest(logs.runs(log), log.select("k").distinct())
+
+
 @query("lookup_oldest_run_first", f"{_user()} SELECT k, seg, v, ts, op FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seg) AS rn FROM lat) WHERE rn = 1")
 def lookup_oldest_run_first(spark, sf_dir):
     return ops.lookup_oldest_run(logs.runs(logs.log_user(spark, sf_dir)))

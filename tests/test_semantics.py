@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import bloom
 from logloom.operators import runs as ops
-from logloom.plans import logs
+from logloom.plans import logs, queries
 from logloom.sources import binary, requests
 from logloom.sources.config import StoreConfig, load_config
 from logloom.sources.store import Store
@@ -167,3 +167,8 @@ def test_config(tmp_path, monkeypatch):
     assert load_config() == StoreConfig(flush_bytes=1024, fan_in=3)
     monkeypatch.delenv("CONFIG_DIR")
     assert load_config() == StoreConfig()
+
+
+def test_lookup_of_all_keys_leaves_no_user_out(spark, sf_dir):
+    got = sorted(map(tuple, queries.QUERIES["lookup_newest_all"](spark, sf_dir).collect()))
+    assert got == sorted(map(tuple, queries.QUERIES["live_view_user"](spark, sf_dir).collect()))
