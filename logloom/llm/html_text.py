@@ -3,10 +3,12 @@
 The standard library's parser streams a page's events. Every block-level tag ends a line; a
 line's ratio is its text length over the tags met in it. The ratios are smoothed by a Gaussian
 and split into two clusters by a threshold between their means; lines of the upper cluster mark
-the content region. The region is the article or main element that holds most marked text, or
-where a page has none the span from the first to the last marked line. All lines of the region
-are kept, but for those inside menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments, which the event stream tells by tag, role, class and id.
+the content region. The region is all that lies in article and main elements, or where a page has
+none the block that contains the marked lines, with the lines without links right above it. All
+lines of the region are kept, but for those inside menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles and reader comments, which the event stream tells by tag, role,
+class and id. Where there is no article, rows of nothing but links outside the marked lines are
+menus too: lines of two or more links, and above the marked lines runs of two or more such lines.
 
 Defined results: a null or empty page, and one without a content line, gives an empty text;
 repeated rows give equal texts; an empty table gives no rows; unclosed, crossed and unknown tags
@@ -50,6 +52,8 @@ CONTENT_ROOTS = frozenset("article main".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Where the search for an implied end stops.
 SCOPES = frozenset("html body article main section div table ul ol dl td th blockquote aside nav header footer form".split())
+#: Parts of a text; the block that contains a text is none of them.
+PARTS = frozenset("p pre blockquote figure figcaption ul ol li dl dt dd table caption thead tbody tfoot tr td th h1 h2 h3 h4 h5 h6".split())
 SIGMA = 1.0
 _NAME = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -68,31 +72,36 @@ def _marked(attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, link characters, boilerplate, content root) of each line."""
+    """Collects (text, tags, link characters, boilerplate, content root, block, links if it has no other words) of each line."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, int]] = []
+        self.lines: list[tuple[str, int, int, bool, int, int, int]] = []
         self.parts: list[str] = []
         self.tags = self.linked = self.links = 0
-        self.stack: list[tuple[str, bool, bool, int, bool]] = []  # tag, silent, boilerplate, root, sticky
+        self.anchors, self.plain = 0, False  # of the line: links, words outside them
+        self.blocks: list[list] = [["", 0, None]]  # tag, parent and last block inside (None: open) of each block; the page is 0
+        self.stack: list[tuple[str, bool, bool, int, bool, int]] = []  # tag, silent, boilerplate, root, sticky, block
         self.open: Counter[str] = Counter()
         self.roots = 0
 
-    def _top(self) -> tuple[str, bool, bool, int, bool]:
-        return self.stack[-1] if self.stack else ("", False, False, 0, False)
+    def _top(self) -> tuple[str, bool, bool, int, bool, int]:
+        return self.stack[-1] if self.stack else ("", False, False, 0, False, 0)
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            _, _, boiler, root, _ = self._top()
-            self.lines.append((text, self.tags, min(self.linked, len(text)), boiler, root))
+            _, _, boiler, root, _, block = self._top()
+            self.lines.append((text, self.tags, min(self.linked, len(text)), boiler, root, block, 0 if self.plain else self.anchors))
             self.tags = 0
         self.parts, self.linked = [], 0
+        self.anchors, self.plain = int(self.links > 0), False
 
     def _pop_to(self, tag: str) -> None:
         while self.stack:
-            got = self.stack.pop()[0]
+            got, *_, block = self.stack.pop()
+            if got not in INLINE:
+                self.blocks[block][2] = len(self.blocks) - 1
             self.open[got] -= 1
             self.links -= got == "a"
             if got == tag:
@@ -115,7 +124,7 @@ class Lines(HTMLParser):
             return
         if tag == "body" and self.open["head"]:
             self._pop_to("head")
-        _, silent, boiler, root, sticky = self._top()
+        _, silent, boiler, root, sticky, block = self._top()
         marked = tag not in ("html", "body") and _marked(attrs)
         is_root = tag in CONTENT_ROOTS or ("role", "main") in attrs
         if is_root and not marked:
@@ -128,9 +137,13 @@ class Lines(HTMLParser):
             boiler = sticky = True
         elif tag in FRAME and not (tag == "header" and root):
             boiler = True
-        self.stack.append((tag, silent or tag in SILENT, boiler, root, sticky))
+        if tag not in INLINE:
+            self.blocks.append([tag, block, None])
+            block = len(self.blocks) - 1
+        self.stack.append((tag, silent or tag in SILENT, boiler, root, sticky, block))
         self.open[tag] += 1
         self.links += tag == "a"
+        self.anchors += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -149,6 +162,8 @@ class Lines(HTMLParser):
             self.parts.append(data)
             if self.links:
                 self.linked += len(data)
+            else:
+                self.plain = self.plain or any(c.isalnum() for c in data)
 
     def close(self):
         super().close()
@@ -178,39 +193,43 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def content_lines(lines: list[tuple[str, int, int, bool, int]]) -> list[str]:
+def container(blocks: list[list], marked: np.ndarray) -> tuple[int, int]:
+    """The smallest block that holds all marked ones and is no mere part of a text; its first and last block inside."""
+    at, last = int(marked.min()), int(marked.max())
+    end = lambda x: len(blocks) if blocks[x][2] is None else blocks[x][2]
+    if at == last:  # a line's own block is not what contains it
+        at = blocks[at][1]
+    while at and (end(at) < last or blocks[at][0] in PARTS):
+        at = blocks[at][1]
+    return at, end(at) if at else len(blocks)
+
+
+def content_lines(lines: list[tuple[str, int, int, bool, int, int, int]], blocks: list[list]) -> list[str]:
     """The texts of the content region, in page order."""
     if not lines:
         return []
-    length = np.array([len(x[0]) - x[2] for x in lines], float)
-    ratio = smoothed(length / np.maximum(1, [x[1] for x in lines]))
     fine = np.array([not x[3] for x in lines])
     if not fine.any():
         return []
-    upper = fine & (ratio >= threshold(ratio))
-    if not upper.any():
-        upper = fine
-    roots = np.array([x[4] for x in lines])
-    weight = Counter()
-    for r, n in zip(roots[fine & (roots > 0)], length[fine & (roots > 0)], strict=True):
-        weight[int(r)] += n
-    marked = Counter()
-    for r, n in zip(roots[upper], length[upper], strict=True):
-        marked[int(r)] += n
-    if weight:
-        best = max(weight, key=lambda r: (marked[r], weight[r], -r))
-        most = max(marked[best], weight[best])
-        chosen = [r for r in weight if r == best or weight[r] >= 0.5 * most]
-        region = fine & np.isin(roots, chosen)
-    else:
+    region = fine & np.array([x[4] > 0 for x in lines])
+    if not region.any():
+        length = np.array([len(x[0]) - x[2] for x in lines], float)
+        ratio = smoothed(length / np.maximum(1, [x[1] for x in lines]))
+        upper = fine & (ratio >= threshold(ratio))
+        if not upper.any():
+            upper = fine
+        block, links = np.array([x[5] for x in lines]), np.array([x[6] for x in lines])
+        first, last = container(blocks, block[upper])
+        region = fine & (block >= first) & (block <= last)
+        above = np.flatnonzero(region)[0]
+        while above and fine[above - 1] and lines[above - 1][2] == 0:  # a title or lead above
+            above -= 1
+            region[above] = True
         at = np.flatnonzero(upper)
-        region = fine.copy()
-        region[: at[0]] = region[at[-1] + 1 :] = False
-        first = at[0]
-        while first and fine[first - 1] and lines[first - 1][2] == 0 and at[0] - first < 3:  # a title or lead above
-            first -= 1
-            region[first] = True
-        region &= np.array([x[2] < 0.6 * len(x[0]) for x in lines])
+        for i in np.flatnonzero(region & (links > 0)):
+            beside = (i > 0 and links[i - 1] > 0) or (i + 1 < len(lines) and links[i + 1] > 0)
+            if (i < at[0] and (links[i] > 1 or beside)) or (i > at[-1] and links[i] > 1):
+                region[i] = False
     return [lines[i][0] for i in np.flatnonzero(region)]
 
 
@@ -231,7 +250,7 @@ def extract(html: str | None) -> str:
     parser = Lines()
     parser.feed(whole_markup(html or ""))
     parser.close()
-    return "\n".join(content_lines(parser.lines))
+    return "\n".join(content_lines(parser.lines, parser.blocks))
 
 
 def _extract_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

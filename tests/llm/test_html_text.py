@@ -51,3 +51,31 @@ def test_nulls_repeats_and_empty_tables(spark):
     n = len(h.extract(PAGE))
     assert out == [("1", n), ("1", n), ("2", 0), ("None", 0)]
     assert h.extract_pages(df.limit(0)).count() == 0
+
+
+def para(*lengths):
+    return "".join(f"<p>{(chr(97 + i) * n)}</p>" for i, n in enumerate(lengths))
+
+
+def lengths(html):
+    return [len(x) for x in h.extract(html).split("\n")]
+
+
+def test_short_ends_of_a_text_without_an_article_stay():
+    body = [420, 500, 380, 610, 450, 60, 45, 40]
+    assert lengths(f"<body>{para(*body)}</body>") == body
+    page = "<body><div><a href=/>Home</a> <a href=/x>X</a></div><ul><li><a href=a>A</a></li><li><a href=b>B</a></li></ul>{}<div class=footer>f</div><div><a href=/>Us</a> | <a href=/x>Mail</a></div></body>"
+    start = [30, 25, 20, 40, 35, 420, 500]
+    assert lengths(page.format(para(*start))) == start
+    assert lengths(page.format(f"<h1>Title</h1><div>{para(*start)}</div>")) == [5, *start]
+
+
+def test_lines_of_links_in_a_text_stay():
+    link = "<p><a href=y>A whole line of link text</a></p>"
+    assert lengths(f"<body><div>{para(400, 420)}{link}{para(500)}{link}</div></body>") == [400, 420, 25, 500, 25]
+
+
+def test_all_of_main_and_its_articles():
+    page = f"<nav>n</nav><main><h1>Title</h1><p>Lead.</p><article>{para(400)}</article><article>{para(100)}</article><p>End.</p><div class=related>{para(300)}</div></main><p>Out.</p>"
+    assert lengths(page) == [5, 5, 400, 100, 4]
+    assert lengths(f"<div><article>{para(400)}</article></div><div><article>{para(100)}</article></div>") == [400, 100]
