@@ -212,7 +212,8 @@ pddl-1.0 1 0.85 commons open data commons public domain dedication(?: and licen[
 ofl-1.1 4 1.0 font this font software is licensed under the sil open font license version 1 1
 ofl-1.1 3 0.95 font (?:sil )?open font licen[sc]e(?: (?:version |v ?)?1 1)?
 ofl-1.1 2 0.95 spdx spdx license identifier ofl 1 1
-python-2.0 3 0.95 python (?:python software foundation|psf) licen[sc]e(?: (?:version |v ?)?2)?
+python-2.0 3 0.95 python python software foundation licen[sc]e(?: (?:version |v ?)?2)?
+python-2.0 3 0.95 psf psf licen[sc]e(?: (?:version |v ?)?2)?
 python-2.0 2 0.95 spdx spdx license identifier (?:psf|python) 2 0
 php-3.01 3 0.95 php php licen[sc]e (?:version |v ?)?3 0?1
 php 1 0.75 php (?:the )?php licen[sc]e

@@ -1,4 +1,5 @@
 import re
+from re import _parser
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -77,3 +78,31 @@ def test_whole_table(spark, sf_dir):
     for d in docs:
         r = out[d["doc_id"]]
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == brute(d["text"])
+
+
+def matches(items):
+    """The texts that a parsed pattern matches, with each repeat taken once or, where it may be, not at all."""
+    out = {""}
+    for op, arg in items:
+        op = str(op)
+        if op == "LITERAL":
+            ends = {chr(arg)}
+        elif op == "IN":
+            ends = {chr(c) for kind, x in arg for c in ([x] if str(kind) == "LITERAL" else range(x[0], x[1] + 1))}
+        elif op == "SUBPATTERN":
+            ends = matches(arg[3])
+        elif op == "BRANCH":
+            ends = {m for x in arg[1] for m in matches(x)}
+        elif op == "ANY":
+            ends = {"."}
+        else:
+            assert op in ("MAX_REPEAT", "MIN_REPEAT"), op
+            ends = matches(arg[2]) | ({""} if arg[0] == 0 else set())  # once for any number of times
+        out = {a + b for a in out for b in ends}
+    return out
+
+
+def test_keyword_is_in_every_match():
+    for label, _, _, keyword, pattern in signatures():
+        assert [m for m in matches(_parser.parse(pattern)) if keyword not in m] == [], label
+    assert l.scan("Distributed under the PSF License, version 2.")[5] == "python-2.0"
