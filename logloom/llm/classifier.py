@@ -3,14 +3,14 @@
 A text's tokens are runs of letters and digits, lower-cased, and runs of other characters than
 white space; words in capitals count as a token more. Tokens are hashed to VOCABULARY rows. Each
 row has a fixed sparse ternary index vector; its word vector adds the normalised sum of the index
-vectors met REACH tokens to each side in the sample. A document is the mean of its tokens'
+vectors met REACH tokens to each side in any document that is not held out. A document is the mean of its tokens'
 vectors, with the mean's length, the likeness of neighbours and the text's size beside. A tanh
 layer and a logistic unit, trained with numpy, score it, and a temperature fitted on rows that
 were not trained on calibrates the probabilities.
 
-Vectors, network and temperature are fitted on MAX_SAMPLE labelled rows at most, the first by a
-hash of doc_id, and never on rows whose crc32(doc_id as text) mod 5 is 0. Every whole text is
-scored.
+Network and temperature are fitted on MAX_SAMPLE labelled rows at most, the first by a hash of
+doc_id. They and the vectors, which need no label, are never fitted on rows whose crc32(doc_id as
+text) mod 5 is 0: those are held out. Every whole text is scored.
 
 Defined results: null and empty texts are scored as a mean of zeros; a null doc_id is held out;
 without labelled rows of both classes every score is the share of label 1, or 0.5 without any;
@@ -35,6 +35,10 @@ DIM, VOCABULARY = 64, 1 << 14
 NONZERO, REACH = 6, 2
 MAX_SAMPLE = 8_000
 PARTS = 4
+#: The table of sums is shuffled in so many slices of its rows.
+SLICES = 16
+#: Pairs of neighbours that are counted at once.
+_PAIRS = 1 << 21
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 80, 64, 0.005, 1e-4
 THRESHOLD = 0.3
 SEED = 7
@@ -76,16 +80,39 @@ def token_ids(block: tokens.Block) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([row, row[loud]])[order], ids
 
 
-def context_sums(row: np.ndarray, ids: np.ndarray, index: np.ndarray, out: np.ndarray) -> None:
-    """Adds to out, for each token, the index vectors of its neighbours in the same text."""
-    for step in range(1, REACH + 1):
-        same = np.flatnonzero(row[step:] == row[:-step])
-        for a, b in ((same, same + step), (same + step, same)):
-            order = np.argsort(ids[a], kind="stable")
-            own = ids[a][order]
-            first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else own
-            if len(first):
-                out[own[first]] += np.add.reduceat(index[ids[b][order]], first, axis=0)
+class ContextSums:
+    """Sums, for each vocabulary row, the index vectors of its neighbours in the same text, in whole multiples of their entries."""
+
+    def __init__(self) -> None:
+        index = index_vectors()
+        self.at = np.argsort(index == 0, axis=1, kind="stable")[:, :NONZERO]
+        self.sign = np.sign(np.take_along_axis(index, self.at, axis=1)).astype(float)
+        self.total = np.zeros(VOCABULARY * DIM)
+        self.codes: list[np.ndarray] = []
+        self.waiting = 0
+
+    def add(self, row: np.ndarray, ids: np.ndarray) -> None:
+        for step in range(1, REACH + 1):
+            same = np.flatnonzero(row[step:] == row[:-step])
+            self.codes.append((ids[same] * VOCABULARY + ids[same + step]).astype(np.int32))
+            self.waiting += len(same)
+        if self.waiting >= _PAIRS:
+            self.flush()
+
+    def flush(self) -> None:
+        """Distinct pairs are counted first, then added once."""
+        code = np.sort(np.concatenate([*self.codes, np.zeros(0, np.int32)]))
+        self.codes, self.waiting = [], 0
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(code)))
+        a, b = np.divmod(code[first].astype(np.int64), VOCABULARY)
+        for own, other in ((a, b), (b, a)):
+            for j in range(NONZERO):
+                self.total += np.bincount(own * DIM + self.at[other, j], n * self.sign[other, j], len(self.total))
+
+    def table(self) -> np.ndarray:
+        self.flush()
+        return self.total.reshape(VOCABULARY, DIM)
 
 
 def pooled(row: np.ndarray, ids: np.ndarray, vectors: np.ndarray, n_rows: int) -> np.ndarray:
@@ -157,8 +184,14 @@ def train(x: np.ndarray, y: np.ndarray) -> Network:
 
 
 def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
-    """The divisor of least log loss, by golden section over its logarithm."""
-    loss = lambda s: np.mean(np.logaddexp(0, -np.where(y > 0, 1, -1) * logits / np.exp(s)))
+    """The divisor of least log loss, by golden section over its logarithm.
+
+    Against Platt's targets, one row more of each class than there is, so that rows which are told
+    apart without an error do not make scores so sure that they round to 1 and lose their order.
+    """
+    ones = int((y > 0).sum())
+    target = np.where(y > 0, (ones + 1) / (ones + 2), 1 / (len(y) - ones + 2))
+    loss = lambda s: np.mean(np.logaddexp(0, logits / np.exp(s)) - target * logits / np.exp(s))
     lo, hi, g = -2.0, 3.0, (np.sqrt(5) - 1) / 2
     for _ in range(60):
         a, b = hi - g * (hi - lo), lo + g * (hi - lo)
@@ -184,27 +217,55 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+_SUMS = "slice int, rows binary, sums binary"
+
+
+def _slices(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of a table of sums that are not 0, by slice."""
+    some = np.flatnonzero(total.any(1))
+    for k in np.unique(some % SLICES):
+        rows = some[some % SLICES == k]
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([rows.astype(np.int32).tobytes()], pa.binary()), pa.array([total[rows].astype(np.int64).tobytes()], pa.binary())], names=["slice", "rows", "sums"])
+
+
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    index, out = index_vectors(), np.zeros((VOCABULARY, DIM), np.float32)
+    sums = ContextSums()
     for batch in batches:
         for b in tokens.blocks(batch.column(0), limit=_BLOCK):
-            context_sums(*token_ids(b), index, out)
-    yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sums"])
+            sums.add(*token_ids(b))
+    yield from _slices(sums.table())
+
+
+def _add_sums(parts, total: np.ndarray) -> np.ndarray:
+    for rows, sums in parts:
+        total[np.frombuffer(rows, np.int32)] += np.frombuffer(sums, np.int64).reshape(-1, DIM)
+    return total
+
+
+def _merged_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((VOCABULARY, DIM), np.int64)
+    for batch in batches:
+        _add_sums(((r.as_py(), x.as_py()) for r, x in zip(batch.column(1), batch.column(2), strict=True)), total)
+    yield from _slices(total)
+
+
+def word_vectors(docs: DataFrame) -> np.ndarray:
+    """The vector of each vocabulary row, by the contexts of all rows of docs; one table of sums comes to the driver."""
+    sums = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_sums, _SUMS)
+    sums = sums.repartition(SLICES, "slice").mapInArrow(_merged_sums, _SUMS).collect()
+    total = _add_sums(((r["rows"], r["sums"]) for r in sums), np.zeros((VOCABULARY, DIM), np.int64)).astype(float)
+    norm = np.sqrt((total**2).sum(1, keepdims=True))
+    return (index_vectors() + total / np.where(norm > 0, norm, 1)).astype(np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MAX_SAMPLE) -> Model:
-    """The model of ``label``; features of ``most`` rows, and PARTS tables of sums, come to the driver."""
+    """The model of ``label``; features of ``most`` rows, and one table of sums, come to the driver."""
     spark = docs.sparkSession
     one = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id").cast("bigint"))).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min(label).cast("int").alias("y"))
     one = one.withColumn("order_", integer("classifier", F.col("doc_id").cast("string"))).orderBy("order_", "doc_id").limit(most)
     sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(one), "doc_id").dropDuplicates(["doc_id"])
     sample = materialize(sample.repartition(PARTS, "doc_id").sortWithinPartitions("order_", "doc_id"))
-    index = index_vectors()
-    total = np.zeros((VOCABULARY, DIM))
-    for r in sample.select("text").repartition(PARTS).mapInArrow(_sums, "sums binary").collect():
-        total += np.frombuffer(r["sums"], np.float32).reshape(VOCABULARY, DIM)
-    norm = np.sqrt((total**2).sum(1, keepdims=True))
-    vectors = (index + total / np.where(norm > 0, norm, 1)).astype(np.float32)
+    vectors = word_vectors(docs.filter(~held_out(F.col("doc_id").cast("bigint"))))
 
     shared = spark.sparkContext.broadcast(vectors)
 

@@ -60,3 +60,38 @@ def test_network_learns_and_is_calibrated():
     s = net.scores(x[2500:])
     assert ((s > 0.5) == (p[2500:] > 0.5)).mean() > 0.85
     assert abs(s.mean() - y[2500:].mean()) < 0.06
+
+
+def _vocabulary_rows(text):
+    return next(iter(c.token_ids(b)[1] for b in c.tokens.blocks(pa.array([text]), limit=1 << 20)))
+
+
+def test_contexts_come_from_all_rows_that_are_not_held_out(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5][:6]
+    held = next(i for i in range(40) if not zlib.crc32(str(i).encode()) % 5)
+    df = spark.createDataFrame([(ids[0], "one two"), (ids[1], "two one"), (ids[2], "three four three four"), (held, "five six")], "doc_id long, text string")
+    model = c.fit(df, spark.createDataFrame([(ids[0], 0), (ids[1], 1)], "doc_id long, quality int"))
+    index = c.index_vectors()
+    assert not np.allclose(model.vectors[_vocabulary_rows("three four")], index[_vocabulary_rows("three four")])
+    assert np.allclose(model.vectors[_vocabulary_rows("five six")], index[_vocabulary_rows("five six")])
+
+
+def test_word_vectors_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["a", "B", "CC", "dd", "e!", "--", "ff"], n)) for n in (0, 1, 2, 3, 40, 300)]
+    index, total = c.index_vectors(), np.zeros((c.VOCABULARY, c.DIM))
+    for t in texts[1:]:
+        ids = _vocabulary_rows(t)
+        for i, x in enumerate(ids):
+            for j in range(max(0, i - c.REACH), min(len(ids), i + c.REACH + 1)):
+                total[x] += index[ids[j]] * (i != j)
+    norm = np.sqrt((total**2).sum(1, keepdims=True))
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "text string").repartition(3)
+    assert np.allclose(c.word_vectors(df), index + total / np.where(norm > 0, norm, 1), atol=1e-5)
+
+
+def test_scores_keep_their_order_where_calibration_has_no_errors():
+    logits = np.array([-9.0, -8, -7, 6, 8, 9] * 8)
+    y = (logits > 0).astype(float)
+    z = np.linspace(-9, 9, 40) / c.fit_temperature(logits, y)
+    assert (np.diff(c._sigmoid(z)) > 0).all()
