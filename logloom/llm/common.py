@@ -2,34 +2,80 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of the Arrow batches in which whole texts go to Python workers.
+ARROW_BYTES = 8 << 20
+_tables: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_folders: dict[str, SparkSession] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share.
+    """A new folder under spark.checkpoint.dir, which driver and executors share; it goes when the process ends.
 
-    Only where the session names none (tests in local mode) is a temporary folder set.
+    Only in local mode, where the session names none (tests), a temporary folder is set; on a
+    cluster that is an error, since executors could not read what others wrote.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='logloom-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _folders[path] = spark
+    return path
+
+
+def _remove(path: str) -> None:
+    spark = _folders.pop(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path in list(_folders):
+        try:
+            _remove(path)
+        except (Py4JError, OSError, AttributeError):  # the JVM has gone already
+            return
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends, each row is made once."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _tables[out] = path
+    return out
+
+
+def discard(*dfs: DataFrame) -> None:
+    """Removes tables of ``materialize`` that nothing reads any more: what was made of them is written."""
+    for df in dfs:
+        if path := _tables.pop(df, None):
+            _remove(path)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of bytes in an Arrow batch to ARROW_BYTES, so that 10,000 long texts never make one."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name, "64m"))
+    if not 0 < now <= ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:

@@ -9,7 +9,9 @@ with a smaller doc_id.
 
 Equal super-k-mers are combined before the shuffle, in pieces of PIECE bytes: of their documents
 the smallest alone travels, the others' windows are settled on the spot. A bucket that still
-exceeds BUCKET_LIMIT bytes is dealt out again, under another order of minimisers.
+exceeds BUCKET_LIMIT bytes is dealt out again, under another order of minimisers, and at last by
+the windows' own hashes, so that nothing but copies of one window must share a bucket.
+Many buckets share a partition and are settled one after another; workers give memory back after each.
 
 Defined results: a null or empty text has no words and keeps the SHA-256 of nothing; rows with a
 null doc_id count as larger than any other and never as smaller than each other; rows that repeat
@@ -33,12 +35,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logloom.llm import tokens
-from logloom.llm.common import materialize, table
+from logloom.llm.common import bounded_batches, materialize, table
 
 K, M = 50, 3
 PIECE = 10 << 20
 #: Bytes of packed strings that a bucket is planned to hold, and may hold.
-BUCKET_BYTES, BUCKET_LIMIT = 6 << 20, 64 << 20
+BUCKET_BYTES, BUCKET_LIMIT = 4 << 20, 20 << 20
+#: Bytes of packed strings, before compression, of a partition, and its most partitions: sorting spills beyond.
+PARTITION_BYTES, MOST_PARTITIONS = 32 << 20, 100_000
 #: Bytes of super-k-mers for each byte of input files, for planning.
 EXPANSION = 4
 LEVELS = 4
@@ -78,6 +82,8 @@ def super_kmers(h: np.ndarray, w: tokens.Words, k: int, level: int) -> tuple[np.
     at = tokens.within_rows(w, k)
     if not len(at):
         return at, at, np.zeros(0, np.uint64)
+    if level == LEVELS - 1:  # each window by itself
+        return at, np.ones(len(at), np.int64), tokens.window_hashes(h, k)[at]
     m = min(M, k)
     grams = tokens.mix(tokens.window_hashes(h, m) ^ np.uint64(level * 0x51ED270B))
     least = sliding_min(grams, k - m + 1)[at]
@@ -160,8 +166,11 @@ def _pack_documents(buckets: int, k: int):
                 size += len(b.data)
                 if size >= PIECE:
                     yield packer.flush()
+                    tokens.release()
                     size = 0
         yield packer.flush()
+        packer = batch = b = None
+        tokens.release()
 
     return run
 
@@ -281,12 +290,15 @@ def _settle(buckets: int, k: int, level: int):
                 _pack(packer, own, one, head[i : i + 1, 0], np.array([r]), np.array([p]), k, level + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, items, size, packer = None, [], 0, None
+        now, items, size, done, packer = None, [], 0, 0, None
         for batch in batches:
             for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if bucket != now:
                     yield from of(items, packer)
-                    now, items, size, packer = bucket, [], 0, None
+                    now, items, done, size, packer = bucket, [], done + size, 0, None
+                    if done >= PIECE:
+                        done = 0
+                        tokens.release()
                 item = _unpack(packed.as_py())
                 size += len(item[2])
                 if packer is None and size > BUCKET_LIMIT and level + 1 < LEVELS:
@@ -298,29 +310,32 @@ def _settle(buckets: int, k: int, level: int):
                     items.append(item)
                 else:
                     repack(packer, item)
-                    if packer.size >= 4 * PIECE:
+                    if packer.size >= 2 * PIECE:
                         yield packer.flush()
         yield from of(items, packer)
+        items = []
+        tokens.release()
 
     return run
 
 
-def planned_buckets(docs: DataFrame) -> int:
-    """From the size that the optimizer knows of the input, and the session's shuffle partitions."""
+def planned(docs: DataFrame) -> tuple[int, int]:
+    """Buckets and partitions, from the size that the optimizer knows of the input, and the session's shuffle partitions."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size > UNKNOWN:  # what the optimizer says of rows that come from no files
         size = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, math.ceil(EXPANSION * size / BUCKET_BYTES))
+    partitions = max(least, min(math.ceil(EXPANSION * size / PARTITION_BYTES), MOST_PARTITIONS))
+    return max(partitions, math.ceil(EXPANSION * size / BUCKET_BYTES)), partitions
 
 
-def _runs(keyed: DataFrame, k: int, buckets: int) -> DataFrame:
+def _runs(keyed: DataFrame, k: int, buckets: int, partitions: int) -> DataFrame:
     """doc, row_hash, first and last of runs of words that go; runs of a row may overlap."""
     packed = keyed.mapInArrow(_pack_documents(buckets, k), SETTLED)
     out = None
     for level in range(LEVELS):
         # settled runs ride along, so that documents are packed once
-        dealt = packed.repartitionById(buckets, F.coalesce(F.col("bucket"), F.pmod(F.hash("row_hash"), F.lit(buckets))))
+        dealt = packed.repartitionById(partitions, F.pmod(F.coalesce(F.col("bucket"), F.hash("row_hash")), F.lit(partitions)))
         done = materialize(dealt.sortWithinPartitions("bucket").mapInArrow(_split(_settle(buckets, k, level)), SETTLED))
         runs = done.filter(F.col("bucket").isNull()).select("doc", "row_hash", "first", "last")
         out = runs if out is None else out.unionByName(runs)
@@ -367,13 +382,16 @@ def _kept(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
             words = [words[i] for i in np.flatnonzero(np.cumsum(gone[:n]) == 0).tolist()]
         left = b" ".join(words)
         out.append((n, n - len(words), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "surrogatepass")))
+    texts = runs = words = None
+    tokens.release()
     return pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256", "kept"])
 
 
 def remove_repeats(docs: DataFrame, k: int = K, buckets: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the words left, one space apart) of each row."""
+    bounded_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_hash"), "text")
-    runs = _runs(keyed, k, buckets or planned_buckets(docs.select("text")))
+    runs = _runs(keyed, k, *((buckets, buckets) if buckets else planned(docs.select("text"))))
     # a document repeats neither a place nor a run, so a list is no longer than its words
     spans = runs.distinct().groupBy("doc", "row_hash").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     rows = keyed.withColumn("doc", F.coalesce("doc_id", F.lit(int(NO_ID)))).join(spans, ["doc", "row_hash"], "left")
