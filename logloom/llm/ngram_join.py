@@ -14,12 +14,14 @@ it could still be similar enough.
    shares at least ``least_shared`` prefix shingles, and each document can leave out nearly half
    as many without losing a pair: its most frequent ones go. Shingles of the bounded table of frequent ones that stay send no prefix row:
    the document is tied to the shingle's pivot, which costs one edge however many share it.
-   Other shingles meet by shuffle: small groups give pairs; of large groups each document leaves
-   out as many as it still can, and what stays is tied to the group's first member. So no large
-   group is expanded into pairs, and no linked pair is lost.
-3. The ties' components are clusters. A cluster's texts meet in blocks of bounded size, each pair
-   of blocks in one task, where intersections are counted exactly. Links found there are
-   reduced to a spanning forest, and joined over blocks by connected components.
+   Other shingles meet by shuffle, packed by bucket: small groups give pairs; of large groups each
+   document leaves out as many as it still can, and what stays is tied to the group's first
+   member. So no large group is expanded into pairs, and no linked pair is lost.
+3. The ties' components are clusters. A large cluster is split by classes of set sizes, since
+   linked sets lie in one class or in neighbours, and each class into blocks of bounded size.
+   Each pair of blocks that can hold links is one group, where intersections are counted exactly,
+   in tiles; what comes out is a count of links and a component for each text, never pairs.
+   Components are joined over blocks.
 
 Defined results: a null, empty or wordless text has an empty set and links with nothing; texts
 with fewer than N words have their whole sequence as one shingle; a null doc_id takes part, and a
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from logloom.llm import tokens
-from logloom.llm.common import free_name, materialize, table
+from logloom.llm.common import bounded_batches, free_name, materialize, table
 from logloom.llm.components import connected
 
 N = 5
@@ -56,11 +58,20 @@ VERIFY_COST = 4.0
 PAIRED = 16
 #: Bits of the filter that texts pass before they are shuffled.
 BITS = 1 << 24
-#: Shingles of the texts of a block.
-BLOCK = 1 << 20
+#: Prefix shingles are dealt to buckets planned for so many set members, and sorted so many at a time.
+BUCKET, SORTED = 3 << 20, 1 << 20
+MOST_PARTITIONS = 100_000
+#: Shingles of the texts of a block, and texts.
+BLOCK, BLOCK_ROWS = 1 << 19, 512
+#: Ratio of the sizes at the ends of a class; over 4 / 3, so that linked sets are in one class or in neighbours.
+STEP = 1.34
+#: Characters of texts of small clusters that are settled together.
+SETTLED = 3 << 20
 #: Shingle groups up to this size are expanded into pairs within a task, larger ones multiplied as a matrix.
 DENSE = 48
-PREFIX = "shingle long, sig long, matches int, n int, rest int, known int, spare int"
+#: Rows, and members of sets, of a tile in which intersections are counted.
+TILE_ROWS, TILE_MEMBERS = 1024, 1 << 16
+PREFIX = "bucket int, keys binary, entries binary, a long, b long"
 MET = "a long, b long, need int, shingle long, spare int"
 STATS = "doc_id long, row_hash long, n int, sig long, shingle long, df int, pivot long"
 
@@ -127,9 +138,12 @@ def _stats(n: int):
                 if size >= PIECE:
                     yield from counts()
                     held.clear()
+                    tokens.release()
                     size = 0
         if held:
             yield from counts()
+        held.clear()
+        tokens.release()
 
     return run
 
@@ -169,12 +183,43 @@ def choose_prefixes(row: np.ndarray, df: np.ndarray, n_rows: int) -> tuple[np.nd
     return matches, length, spare
 
 
-def _prefixes(frequent, n: int):
-    """Prefix rows PREFIX, and ties (pivot in place of shingle, matches 0) for frequent shingles."""
+#: What a bucket learns of a document: its class, set size, l, frequent shingles in its prefix, shingles it can still leave out, and how many keys follow.
+ENTRY = np.dtype([("sig", "<i8"), ("n", "<i4"), ("matches", "<i4"), ("known", "<i4"), ("spare", "<i4"), ("count", "<i4")])
+
+
+def _packed(shingle: np.ndarray, doc: np.ndarray, entries: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Prefix rows by bucket: one string of keys and one of ENTRY records each; doc is ascending."""
+    bucket = (tokens.mix(shingle) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket, doc, keys = bucket[order], doc[order], np.ascontiguousarray(shingle[order])
+    step = bucket[1:] != bucket[:-1]
+    of_bucket = np.flatnonzero(np.append(True, step))
+    of_doc = np.flatnonzero(np.append(True, step | (doc[1:] != doc[:-1])))
+    rows = entries[doc[of_doc]]
+    rows["count"] = np.diff(np.append(of_doc, len(doc)))
+    key_at = np.append(of_bucket, len(doc)) * 8
+    row_at = np.searchsorted(of_doc, np.append(of_bucket, len(doc))) * ENTRY.itemsize
+    strings = [pa.Array.from_buffers(pa.binary(), len(of_bucket), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(x.tobytes())]) for at, x in ((key_at, keys), (row_at, rows))]
+    none = pa.nulls(len(of_bucket), pa.int64())
+    return _batch(bucket=pa.array(bucket[of_bucket]), keys=strings[0], entries=strings[1], a=none, b=none)
+
+
+def _prefixes(frequent, n: int, buckets: int):
+    """Prefix rows packed by bucket, and ties (pivot, class) for frequent shingles, as PREFIX."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, dfs, pivots = frequent.value
         seen, size = set(), 0
+        light_keys, light_docs, entries, n_docs, n_light = [], [], [], 0, 0
+        ties: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if n_light:
+                yield _packed(np.concatenate(light_keys), np.concatenate(light_docs), np.concatenate(entries), buckets)
+            if ties:
+                t = np.unique(np.concatenate(ties, axis=1), axis=1)
+                yield _batch(bucket=pa.nulls(t.shape[1], pa.int32()), keys=pa.nulls(t.shape[1], pa.binary()), entries=pa.nulls(t.shape[1], pa.binary()), a=pa.array(t[0]), b=pa.array(t[1]))
+
         for batch in batches:
             for b in tokens.blocks(batch.column(0), lower=True):
                 row, own = shingle_sets(b, n)
@@ -184,8 +229,6 @@ def _prefixes(frequent, n: int):
                     new[i] = s not in seen
                     seen.add(s)
                 size += len(b.data)
-                if size >= PIECE:
-                    seen, size = set(), 0
                 keep = new[row]
                 row, own = row[keep], own[keep]
                 at = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
@@ -198,29 +241,55 @@ def _prefixes(frequent, n: int):
                 rank = np.arange(len(row)) - (np.cumsum(count) - count)[row]
                 inside = rank < length[row]
                 light = inside & ~known
-                frequent_ones = np.bincount(row[inside & known], minlength=b.n)
                 left_out = inside & known & (rank >= (length - spare)[row])
-                spare -= np.bincount(row[left_out], minlength=b.n)
-                of = row[light]
-                ints = {k: pa.array(v[of].astype(np.int32)) for k, v in (("matches", matches), ("n", count), ("rest", count - length), ("known", frequent_ones), ("spare", spare))}
-                yield _batch(shingle=pa.array(own[light].view(np.int64)), sig=pa.array(sig[of]), **ints)
+                own_entries = np.zeros(b.n, ENTRY)
+                own_entries["sig"], own_entries["n"], own_entries["matches"] = sig, count, matches
+                own_entries["known"] = np.bincount(row[inside & known], minlength=b.n)
+                own_entries["spare"] = spare - np.bincount(row[left_out], minlength=b.n)
+                light_keys.append(own[light])
+                light_docs.append(row[light] + n_docs)
+                entries.append(own_entries)
+                n_docs += b.n
+                n_light += int(light.sum())
                 heavy = inside & known & ~left_out
                 if heavy.any():
-                    ties = np.unique(np.stack([pivots[at[heavy]], sig[row[heavy]]]), axis=1)
-                    ties = ties[:, ties[0] != ties[1]]
-                    zero = pa.array(np.zeros(ties.shape[1], np.int32))
-                    yield _batch(shingle=pa.array(ties[0]), sig=pa.array(ties[1]), matches=zero, n=zero, rest=zero, known=zero, spare=zero)
+                    t = np.unique(np.stack([pivots[at[heavy]], sig[row[heavy]]]), axis=1)
+                    ties.append(t[:, t[0] != t[1]])
+                if size >= PIECE:
+                    yield from flush()
+                    seen, size = set(), 0
+                    light_keys, light_docs, entries, n_docs, n_light, ties = [], [], [], 0, 0, []
+                    tokens.release()
+        yield from flush()
+        light_keys = light_docs = entries = ties = seen = None
+        tokens.release()
 
     return run
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, need) of small groups, and the rows (b, shingle, spare) of large ones, from prefix rows sorted by shingle and signature."""
-
-    def found(key: np.ndarray, sig: np.ndarray, matches: np.ndarray, n: np.ndarray, rest: np.ndarray, known: np.ndarray, spare: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _candidates(keys: np.ndarray, entries: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, need) of small groups, and rows (b, shingle, spare) of large ones, from the keys of one bucket."""
+    doc = np.repeat(np.arange(len(entries)), entries["count"])
+    for part in range(parts := 1 + len(keys) // SORTED):  # whole groups, so that sorting takes bounded memory
+        mine = np.flatnonzero(keys % np.uint64(parts) == np.uint64(part)) if parts > 1 else slice(None)
+        key, of = keys[mine], doc[mine]
+        order = np.argsort(key)
+        key, of = key[order], of[order]
+        same = key[1:] == key[:-1]
+        some = np.append(False, same) | np.append(same, False)  # most keys stand alone
+        key, of = key[some], of[some]
+        sig = entries["sig"][of]
+        order = np.lexsort((sig, key))
+        key, of, sig = key[order], of[order], sig[order]
+        keep = np.ones(len(key), bool)
+        keep[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])
+        key, of, sig = key[keep], of[keep], sig[keep]
+        if not len(key):
+            continue
+        n, matches, known, spare = (entries[x][of].astype(np.int64) for x in ("n", "matches", "known", "spare"))
+        rest = -(-T_NUM * n // T_DEN) - matches
         first = np.append(True, key[1:] != key[:-1])
-        start = np.flatnonzero(first)
-        size = np.diff(np.append(start, len(key)))
+        size = np.diff(np.append(np.flatnonzero(first), len(key)))
         small = (size <= PAIRED)[np.cumsum(first) - 1]
         a, b, need = [], [], []
         for lag in range(1, min(PAIRED, int(size.max()))):
@@ -238,88 +307,143 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(a=pa.array(a), b=pa.array(b), need=pa.array(need.astype(np.int32)), shingle=none, spare=pa.nulls(len(a), pa.int32()))
         big = np.flatnonzero(~small)
         if len(big):
-            yield _batch(a=pa.nulls(len(big), pa.int64()), b=pa.array(sig[big]), need=pa.nulls(len(big), pa.int32()), shingle=pa.array(key[big]), spare=pa.array(spare[big]))
+            yield _batch(a=pa.nulls(len(big), pa.int64()), b=pa.array(sig[big]), need=pa.nulls(len(big), pa.int32()), shingle=pa.array(key[big].view(np.int64)), spare=pa.array(spare[big].astype(np.int32)))
 
-    held = None
-    for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
-        if held is not None:
-            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-        keep = np.ones(len(cols[0]), bool)
-        keep[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
-        cols = [x[keep] for x in cols]
-        key = cols[0]
-        cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
-        if len(key) - cut > 4 * PAIRED:  # a large group streams by; enough of it stays to tell that it is large
-            yield from found(*cols)
-            held = [x[cut : cut + 2 * PAIRED] for x in cols]
-            continue
-        if cut:
-            yield from found(*[x[:cut] for x in cols])
-        held = [x[cut:] for x in cols]
-    if held is not None and len(held[0]):
-        yield from found(*held)
 
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ties as they are; of prefix rows, which come sorted by bucket, their candidates."""
+    now, keys, entries, done = None, [], [], 0
+
+    def settle() -> Iterator[pa.RecordBatch]:
+        if keys:
+            yield from _candidates(np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(entries), ENTRY))
 
-def linked_pairs(row: np.ndarray, own: np.ndarray, n_rows: int, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of rows of one part whose sets are similar enough; exact intersections."""
+    for batch in batches:
+        tie = batch.column(0).is_null()
+        if tie.true_count:
+            t = batch.filter(tie)
+            none = pa.nulls(len(t), pa.int64())
+            yield _batch(a=t.column(3), b=t.column(4), need=pa.array(np.zeros(len(t), np.int32)), shingle=none, spare=pa.nulls(len(t), pa.int32()))
+        for bucket, k, e in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            if bucket is None:
+                continue
+            if bucket != now:
+                yield from settle()
+                now, keys, entries = bucket, [], []
+                if done >= 8 * PIECE:
+                    tokens.release()
+                    done = 0
+            keys.append(k.as_py())
+            entries.append(e.as_py())
+            done += len(keys[-1])
+    yield from settle()
+    keys, entries = [], []
+    tokens.release()
+
+
+def link_counts(row: np.ndarray, own: np.ndarray, part: np.ndarray, block: np.ndarray, cross: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set, its similar ones (weighted by their copies) and its component's smallest row.
+
+    row and own are the sets' members by row; rows of one part stand together, those of one block
+    in it too. Of a part that is ``cross`` only pairs of two blocks are compared. Rows are taken in
+    tiles: shingles of few rows give pairs of a tile's rows, those of many a product of 0/1
+    matrices of two tiles, so memory follows the tiles and not the pairs.
+    """
+    n_rows = len(part)
     size = np.bincount(row, minlength=n_rows)
+    links, root = np.zeros(n_rows, np.int64), np.arange(n_rows)
     key = tokens.mix(own ^ tokens.mix(part[row].astype(np.uint64)))
-    order = np.lexsort((row, key))
-    key, row = key[order], row[order]
+    order = np.argsort(key)
+    key = key[order]
     start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     df = np.diff(np.append(start, len(key)))
-    group = np.repeat(np.arange(len(df)), df)
-    light = ((df > 1) & (df <= DENSE))[group]
-    k, r = key[light], row[light]
-    codes = []
-    held = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for lag in range(1, min(DENSE, int(df.max(initial=1)))):
-        same = np.flatnonzero(k[lag:] == k[:-lag])
-        if not len(same):
-            break
-        codes.append(r[same] * n_rows + r[same + lag])
-        if sum(map(len, codes)) > 4 << 20:
-            held = _add(held, codes)
-            codes = []
-    pair, common = _add(held, codes)
-    heavy = np.flatnonzero(df > DENSE)
-    if len(heavy):
-        pair, common = _dense(pair, common, start[heavy], df[heavy], row, part, n_rows)
-    a, b = pair // n_rows, pair % n_rows
-    good = T_DEN * common >= T_NUM * (size[a] + size[b] - common)
-    return a[good], b[good]
-
-
-def _add(held: tuple[np.ndarray, np.ndarray], codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    pair, n = np.unique(np.concatenate([np.zeros(0, np.int64), *codes]), return_counts=True)
-    if not len(held[0]):
-        return pair, n
-    both, at = np.unique(np.concatenate([held[0], pair]), return_inverse=True)
-    return both, np.bincount(at, weights=np.concatenate([held[1], n])).astype(np.int64)
-
-
-def _dense(pair: np.ndarray, common: np.ndarray, start: np.ndarray, df: np.ndarray, row: np.ndarray, part: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Adds what shingles of many rows have in common, part by part, as products of 0/1 matrices."""
-    of = part[row[start]]
-    for p in np.unique(of):
-        mine = np.flatnonzero(of == p)
-        rows = np.unique(np.concatenate([row[start[g] : start[g] + df[g]] for g in mine]))
-        place = np.full(n_rows, -1)
-        place[rows] = np.arange(len(rows))
-        total = np.zeros((len(rows), len(rows)), np.float32)
-        width = max(64, (8 << 20) // max(1, len(rows)))
-        for lo in range(0, len(mine), width):
-            m = np.zeros((len(rows), min(width, len(mine) - lo)), np.float32)
-            for j, g in enumerate(mine[lo : lo + width]):
-                m[place[row[start[g] : start[g] + df[g]]], j] = 1
-            total += m @ m.T
-        a, b = np.nonzero(np.triu(total, 1))
-        held = pair, common
-        new = rows[a] * n_rows + rows[b], total[a, b].astype(np.int64)
-        both, at = np.unique(np.concatenate([held[0], new[0]]), return_inverse=True)
-        pair, common = both, np.bincount(at, weights=np.concatenate([held[1], new[1]])).astype(np.int64)
-    return pair, common
+    ident = np.empty(len(key), np.int64)
+    ident[order] = np.repeat(np.arange(len(df)), df)
+    some = df[ident] > 1
+    row, ident = row[some], ident[some]
+    light = df[ident] <= DENSE
+    # light members by shingle and row; heavy ones by row and shingle
+    order = np.lexsort((row[light], ident[light]))
+    l_id, l_row = ident[light][order], row[light][order]
+    at_row = np.argsort(l_row, kind="stable")
+    row_of = l_row[at_row]
+    h_id, h_row = ident[~light], row[~light]
+    part_end = np.searchsorted(part, part, "right")
+    edges: list[np.ndarray] = []
+    waiting = 0
+
+    def found(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal root, links, waiting
+        links += np.bincount(a, copies[b], n_rows).astype(np.int64) + np.bincount(b, copies[a], n_rows).astype(np.int64)
+        apart = root[a] != root[b]
+        if apart.any():
+            edges.append(np.unique(np.stack([root[a[apart]], root[b[apart]]]), axis=1))
+            waiting += edges[-1].shape[1]
+            if waiting > TILE_MEMBERS:
+                join()
+
+    def join() -> None:
+        nonlocal root, waiting
+        if edges:
+            e = np.concatenate(edges, axis=1)
+            root = _roots(e[0], e[1], n_rows)[root]
+            edges.clear()
+            waiting = 0
+
+    # tiles: rows of one block, so many and with so many members at most (or one row)
+    members = np.bincount(row, minlength=n_rows)
+    new_block = np.append(True, (part[1:] != part[:-1]) | (cross[part[1:]] & (block[1:] != block[:-1])))
+    tiles, lo, held = [], 0, 0
+    small = np.bincount(part, minlength=len(cross))[part] <= DENSE  # no heavy members: such parts share a tile
+    for i in range(1, n_rows + 1):
+        held += members[i - 1]
+        if i == n_rows or i - lo >= TILE_ROWS or held + members[i] > TILE_MEMBERS or (new_block[i] and not (small[i] and small[i - 1])):
+            tiles.append((lo, i))
+            lo, held = i, 0
+    for lo, hi in tiles:
+        mine = at_row[np.searchsorted(row_of, lo) : np.searchsorted(row_of, hi)]
+        codes = [np.zeros(0, np.int64)]
+        for lag in range(1, DENSE):
+            mine = mine[mine + lag < len(l_id)]
+            mine = mine[l_id[mine + lag] == l_id[mine]]
+            if not len(mine):
+                break
+            codes.append(l_row[mine] * n_rows + l_row[mine + lag])
+        pair, common = np.unique(np.concatenate(codes), return_counts=True)
+        a, b = pair // n_rows, pair % n_rows
+        if cross.any():
+            wanted = ~cross[part[a]] | (block[a] != block[b])
+            a, b, common = a[wanted], b[wanted], common[wanted]
+        i_lo, i_hi = np.searchsorted(h_row, (lo, hi))
+        if i_lo == i_hi:
+            good = T_DEN * common >= T_NUM * (size[a] + size[b] - common)
+            found(a[good], b[good])
+            continue
+        for lo2, hi2 in tiles:
+            if lo2 < lo or lo2 >= part_end[lo] or (cross[part[lo]] and block[lo] == block[lo2]):
+                continue
+            j_lo, j_hi = np.searchsorted(h_row, (lo2, hi2))
+            total = np.zeros((hi - lo, hi2 - lo2), np.float32)
+            ids = np.intersect1d(h_id[i_lo:i_hi], h_id[j_lo:j_hi])
+            for w in range(0, len(ids), TILE_ROWS):
+                sides = []
+                for first, p, q, rows in ((lo, i_lo, i_hi, hi - lo), (lo2, j_lo, j_hi, hi2 - lo2)):
+                    col = np.searchsorted(ids[w : w + TILE_ROWS], h_id[p:q])
+                    ok = np.flatnonzero(ids[np.minimum(w + col, len(ids) - 1)] == h_id[p:q])
+                    ok = ok[col[ok] < TILE_ROWS]
+                    m = np.zeros((rows, min(TILE_ROWS, len(ids) - w)), np.float32)
+                    m[h_row[p:q][ok] - first, col[ok]] = 1
+                    sides.append(m)
+                total += sides[0] @ sides[1].T
+            here = (b >= lo2) & (b < hi2)
+            total[a[here] - lo, b[here] - lo2] += common[here]
+            good = T_DEN * total >= T_NUM * (size[lo:hi, None] + size[None, lo2:hi2] - total)
+            ga, gb = np.nonzero(good)
+            ga, gb = ga + lo, gb + lo2
+            upper = ga < gb
+            found(ga[upper], gb[upper])
+    join()
+    return links, root
 
 
 def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -338,9 +462,9 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def _verify(n: int):
-    """From texts sorted by (cluster, i, j): sig, root, weighted links of each text in its pair of blocks."""
+    """From texts sorted by (cluster, i, j, block): sig, root, weighted links of each text in its pair of blocks."""
 
-    def settle(groups: list[list[tuple]]) -> Iterator[pa.RecordBatch]:
+    def settle(groups: list[list[tuple]]) -> pa.RecordBatch:
         items = [x for g in groups for x in g]
         part = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
         rows, owns, at = [], [], 0
@@ -349,17 +473,15 @@ def _verify(n: int):
             rows.append(row + at)
             owns.append(own)
             at += b.n
-        a, b = linked_pairs(np.concatenate(rows), np.concatenate(owns), len(items), part)
-        sig, copies, block, i, j = (np.array([x[k] for x in items], np.int64) for k in range(1, 6))
-        counted = (i[a] == j[a]) | (block[a] != block[b])  # a pair in one block is counted with that block alone
-        links = np.bincount(a[counted], copies[b[counted]], len(items)) + np.bincount(b[counted], copies[a[counted]], len(items))
-        order = np.argsort(sig)  # so that a component's root is its smallest signature
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        root = sig[order[_roots(rank[a], rank[b], len(items))[rank]]]
+        sig, copies, block = (np.array([x[k] for x in items], np.int64) for k in range(1, 4))
+        cross = np.array([g[0][4] != g[0][5] for g in groups])  # a pair in one block is counted with that block alone
+        links, root = link_counts(np.concatenate(rows), np.concatenate(owns), part, block, cross, copies)
+        least = np.full(len(items), np.iinfo(np.int64).max)
+        np.minimum.at(least, root, sig)  # a component's root is its smallest signature
+        root = least[root]
         whole = np.array([x[6] for x in items], bool)
         some = (links > 0) | (root != sig)
-        yield _batch(sig=pa.array(sig[some]), root=pa.array(root[some]), links=pa.array(links[some].astype(np.int64)), whole=pa.array(whole[some]))
+        return _batch(sig=pa.array(sig[some]), root=pa.array(root[some]), links=pa.array(links[some]), whole=pa.array(whole[some]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: list[list[tuple]] = []
@@ -368,9 +490,10 @@ def _verify(n: int):
             cols = [batch.column(k).to_pylist() for k in range(8)]  # cluster, i, j, sig, copies, block, whole, text
             for cluster, i, j, sig, copies, block, whole, text in zip(*cols, strict=True):
                 if (cluster, i, j) != now:
-                    if size > 4 << 20:
-                        yield from settle(groups)
+                    if size > SETTLED:
+                        yield settle(groups)
                         groups, size = [], 0
+                        tokens.release()
                     now, seen = (cluster, i, j), set()
                     groups.append([])
                 if sig not in seen:
@@ -378,7 +501,9 @@ def _verify(n: int):
                     groups[-1].append((text, sig, copies, block, i, j, whole))
                     size += len(text)
         if groups:
-            yield from settle(groups)
+            yield settle(groups)
+        groups = cols = None
+        tokens.release()
 
     return run
 
@@ -407,6 +532,7 @@ def _only(bitmap):
 def similar_documents(docs: DataFrame, n: int = N) -> DataFrame:
     """doc_id, row_hash, n_shingles, component_id and n_links (other rows it links with) of each row."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_hash"), F.coalesce("text", F.lit("")).alias("text"))
     stats = materialize(rows.mapInArrow(_stats(n), STATS))
     mine = stats.filter("sig is not null").select("doc_id", "row_hash", "n", "sig")
@@ -418,9 +544,12 @@ def similar_documents(docs: DataFrame, n: int = N) -> DataFrame:
     order = np.argsort(keys)
     frequent = spark.sparkContext.broadcast((keys[order], top["df"].to_numpy(np.int64)[order], top["pivot"].to_numpy(np.int64)[order]))
 
-    prefixes = rows.select("text").mapInArrow(_prefixes(frequent, n), PREFIX)
-    salt = F.when(F.col("matches") == 0, F.hash("sig")).otherwise(0)  # ties need not meet
-    met = materialize(prefixes.repartition(F.col("shingle"), salt).sortWithinPartitions("shingle", "sig").mapInArrow(_meet, MET))
+    shingles = mine.agg(F.sum("n")).first()[0] or 0
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(math.ceil(shingles / BUCKET), MOST_PARTITIONS))
+    buckets = max(partitions, math.ceil(shingles / BUCKET))
+    prefixes = rows.select("text").mapInArrow(_prefixes(frequent, n, buckets), PREFIX)
+    dealt = prefixes.repartitionById(partitions, F.pmod(F.coalesce(F.col("bucket"), F.hash("b")), F.lit(partitions)))  # ties need not meet
+    met = materialize(dealt.sortWithinPartitions("bucket").mapInArrow(_meet, MET))
     large = met.filter("shingle is not null").groupBy("shingle", "b").agg(F.min("spare").alias("spare"))
     groups = large.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"))
     ranked = materialize(large.join(groups, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("size"), "shingle"))))
@@ -438,13 +567,22 @@ def similar_documents(docs: DataFrame, n: int = N) -> DataFrame:
 
     classes = materialize(mine.filter("n > 0").groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")).alias("first"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n")))
     own = materialize(classes.join(members.withColumnRenamed("node", "sig"), "sig").select("sig", "root", "copies", "n", F.col("first.row_hash").alias("row_hash")))
-    blocks = materialize(own.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")))
-    block = F.pmod(F.hash("sig"), F.col("blocks"))
-    dealt = own.join(blocks, "root").select("row_hash", "sig", "copies", "root", block.alias("block"), (F.col("blocks") == 1).alias("whole"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = materialize(dealt.select("row_hash", F.col("root").alias("cluster"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sig", "copies", "block", "whole"))
+    # a cluster of one block is whole; of others linked sets are in one class of sizes or in neighbours
+    total = own.groupBy("root").agg((F.count(F.lit(1)) <= BLOCK_ROWS).alias("few"), (F.sum("n") <= BLOCK).alias("short")).select("root", (F.col("few") & F.col("short")).alias("whole"))
+    step = F.when(F.col("whole"), 0).otherwise(F.floor(F.log("n") / math.log(STEP))).cast("bigint")
+    own = materialize(own.join(total, "root").withColumn("step", step))
+    steps = own.groupBy("root", "step").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS)).cast("int").alias("blocks"))
+    beside = Window.partitionBy("root").orderBy("step").rangeBetween  # a root has under 100 steps
+    steps = steps.withColumn("below", F.coalesce(F.sum("blocks").over(beside(-1, -1)), F.lit(0))).withColumn("above", F.coalesce(F.sum("blocks").over(beside(1, 1)), F.lit(0)))
+    number = lambda step, n: F.transform(F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)).otherwise(F.array().cast("array<bigint>")), lambda h: step * (1 << 32) + h)
+    at = F.when(F.col("whole"), F.lit(0)).otherwise(F.col("step"))
+    others = F.concat(number(at, F.when(F.col("whole"), 1).otherwise(F.col("blocks"))), number(at - 1, F.when(F.col("whole"), 0).otherwise(F.col("below"))), number(at + 1, F.when(F.col("whole"), 0).otherwise(F.col("above"))))
+    block = F.when(F.col("whole"), F.lit(0)).otherwise(at * (1 << 32) + F.pmod(F.hash("sig"), F.col("blocks"))).cast("bigint")
+    dealt = own.join(steps, ["root", "step"]).select("row_hash", "sig", "copies", F.col("root").alias("cluster"), "whole", block.alias("block"), F.explode(others).alias("other"))
+    dealt = materialize(dealt.select("row_hash", "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sig", "copies", "block", "whole"))
     wanted = rows.select("row_hash", "text").mapInArrow(_only(spark.sparkContext.broadcast(_bitmap(dealt))), "row_hash long, text string")
     texts = wanted.join(dealt, "row_hash").select("cluster", "i", "j", "sig", "copies", "block", "whole", "text")
-    found = texts.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_verify(n), "sig long, root long, links long, whole boolean")
+    found = texts.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "block").mapInArrow(_verify(n), "sig long, root long, links long, whole boolean")
     found = materialize(found)
 
     links = found.groupBy("sig").agg(F.sum("links").alias("links"))
@@ -457,26 +595,6 @@ def similar_documents(docs: DataFrame, n: int = N) -> DataFrame:
     return out.select("doc_id", "row_hash", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ties as they are; of prefix rows their candidates."""
-    ties: list[pa.RecordBatch] = []
-
-    def light() -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            tie = b.column(2).to_numpy(zero_copy_only=False) == 0
-            if tie.any():
-                t = b.filter(pa.array(tie))
-                ties.append(_batch(a=t.column(0), b=t.column(1), need=t.column(2), shingle=pa.nulls(len(t), pa.int64()), spare=pa.nulls(len(t), pa.int32())))
-            if not tie.all():
-                yield b.filter(pa.array(~tie))
-
-    for out in _candidates(light()):
-        yield from ties
-        ties.clear()
-        yield out
-    yield from ties
-
-
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents")).drop("row_hash")
 

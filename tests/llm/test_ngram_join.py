@@ -73,8 +73,10 @@ def test_equals_brute_force(spark, monkeypatch, small):
     assert run(spark, rows) == brute(rows)
 
 
-def test_clusters_of_many_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("rows_", [512, 5])
+def test_clusters_of_many_blocks(spark, monkeypatch, rows_):
     monkeypatch.setattr(j, "BLOCK", 600)
+    monkeypatch.setattr(j, "BLOCK_ROWS", rows_)
     rows = corpus(5, 160)
     assert run(spark, rows) == brute(rows)
 
@@ -96,19 +98,65 @@ def test_one_of_each_group(spark):
     assert j.one_of_each_group(df.limit(0)).count() == 0
 
 
-def test_large_groups_stream_by():
-    import pyarrow as pa
-
+def test_large_groups_give_rows_and_small_ones_pairs(monkeypatch):
     n = 500
-    key = np.sort(np.concatenate([np.full(n, 7), np.arange(100, 130), [200, 200]]))
-    sig = np.concatenate([np.arange(n), np.arange(30), [1, 2]])
-    cols = [pa.array(key), pa.array(sig)] + [pa.array(np.full(len(key), x, np.int32)) for x in (1, 10, 7, 0, 3)]
-    whole = pa.RecordBatch.from_arrays(cols, names=["shingle", "sig", "matches", "n", "rest", "known", "spare"])
-    rows = set()
-    for out in j._candidates(iter([whole.slice(i, 60) for i in range(0, len(key), 60)])):
-        rows |= set(zip(*(c.to_pylist() for c in out.columns), strict=True))
-    assert {(b, k, s) for a, b, _, k, s in rows if a is None} == {(i, 7, 3) for i in range(n)}
-    assert {(a, b) for a, b, *_ in rows if a is not None} == {(1, 2)}
+    entries = np.zeros(n + 32, j.ENTRY)
+    entries["sig"], entries["n"], entries["matches"], entries["spare"], entries["count"] = np.arange(n + 32), 10, 1, 3, 1
+    entries["count"][:2] = 2
+    keys = np.concatenate([[7, 200, 7, 200], np.full(n - 2, 7), np.arange(300, 332)]).astype(np.uint64)
+    for most in (1 << 20, 50):
+        monkeypatch.setattr(j, "SORTED", most)
+        rows = set()
+        for out in j._candidates(keys, entries):
+            rows |= set(zip(*(c.to_pylist() for c in out.columns), strict=True))
+        assert {(b, k, s) for a, b, _, k, s in rows if a is None} == {(i, 7, 3) for i in range(n)}
+        assert {(a, b) for a, b, *_ in rows if a is not None} == {(0, 1)}
+
+
+def test_packed_rows_come_back():
+    rng = np.random.default_rng(2)
+    doc = np.sort(rng.integers(0, 40, 900))
+    shingle = rng.integers(0, 1 << 60, 900).astype(np.uint64)
+    entries = np.zeros(40, j.ENTRY)
+    entries["sig"] = np.arange(40) * 11
+    got = []
+    batch = j._packed(shingle, doc, entries, 7)
+    assert len(set(batch.column(0).to_pylist())) == len(batch) == 7
+    for k, e in zip(batch.column(1), batch.column(2), strict=True):
+        own = np.frombuffer(e.as_py(), j.ENTRY)
+        got += zip(np.repeat(own["sig"], own["count"]).tolist(), np.frombuffer(k.as_py(), np.uint64).tolist(), strict=True)
+    assert sorted(got) == sorted(zip((doc * 11).tolist(), shingle.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("tile", [(1024, 1 << 16), (7, 60)])
+@pytest.mark.parametrize("dense", [48, 3])
+def test_link_counts_equal_brute_force(monkeypatch, tile, dense):
+    monkeypatch.setattr(j, "TILE_ROWS", tile[0])
+    monkeypatch.setattr(j, "TILE_MEMBERS", tile[1])
+    monkeypatch.setattr(j, "DENSE", dense)
+    rng = random.Random(6)
+    sets, part, block = [], [], []
+    for p, n in enumerate((1, 30, 3, 2, 60, 25)):
+        bases = [rng.sample(range(80), rng.choice([1, 4, 12])) for _ in range(3)]
+        own = [{x if rng.random() > 0.06 else rng.randint(0, 80) for x in rng.choice(bases)} for _ in range(n)]
+        sets += own
+        part += [p] * n
+        block += sorted(rng.randint(0, 1) for _ in own)
+    cross = np.array([False, False, False, True, True, False])
+    copies = np.array([rng.randint(1, 3) for _ in sets])
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    member = np.array([x for s in sets for x in sorted(s)], np.uint64)
+    links, root = j.link_counts(row, member, np.array(part), np.array(block), cross, copies)
+    want, tree = [0] * len(sets), list(range(len(sets)))
+    find = lambda x: x if tree[x] == x else find(tree[x])
+    for a in range(len(sets)):
+        for b in range(a):
+            if part[a] == part[b] and not (cross[part[a]] and block[a] == block[b]) and 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b]):
+                want[a] += copies[b]
+                want[b] += copies[a]
+                x, y = sorted((find(a), find(b)))
+                tree[y] = x
+    assert links.tolist() == want and root.tolist() == [find(x) for x in range(len(sets))]
 
 
 def test_linked_sets_share_what_prefixes_promise():
