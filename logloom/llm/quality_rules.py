@@ -6,7 +6,8 @@ there; the rows it covers leave and the next rule is learned. The list is emitte
 Spark conditional expression over the statistics; the first rule that holds rejects the row.
 
 Defined results: a null or empty text has zeros for all statistics and fails the base test;
-repeated rows get equal verdicts; without labelled rows of both classes no rule is learned and
+repeated rows get equal verdicts; of labelled rows that repeat a doc_id with other texts one
+counts, whatever the partitions; very long texts are taken whole, a block each; without labelled rows of both classes no rule is learned and
 the base test alone decides; an empty table gives no rows. ``with_stats`` keeps input columns
 and adds one struct column; clashing names get an underscore more.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logloom.llm import tokens
-from logloom.llm.common import free_name, integer, materialize, table
+from logloom.llm.common import bounded_batches, free_name, integer, materialize, table
 
 WINDOW = 5
 #: Labelled rows that the rules are learned from, the first by a hash of doc_id.
@@ -91,11 +92,13 @@ def text_stats(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for column in texts:
         parts = [block_stats(b) for b in tokens.blocks(column)]
         rows = np.concatenate(parts) if parts else np.zeros((0, len(STATS)), np.int64)
+        tokens.release()
         yield pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(STATS))], names=list(STATS))
 
 
 def with_stats(df: DataFrame, out: str = "stats", text: str = "text") -> DataFrame:
     """df with the struct column ``out`` of STATS."""
+    bounded_batches(df.sparkSession)
     return df.withColumn(out, text_stats(F.coalesce(F.col(text), F.lit(""))))
 
 
@@ -186,20 +189,29 @@ def _prune(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> tuple[Rule,
     return best[0], best[2], best[3]
 
 
-def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, fold: np.ndarray, most_rules: int = 12, most_conditions: int = 4, precision: float = 0.9) -> list[Rule]:
-    """fold: 0 and 1 grow rules, 2 prunes them. Each kept rule is that precise on what it covers of fold 2."""
+def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, fold: np.ndarray, most_rules: int = 12, most_conditions: int = 4, precision: float = 0.9, most_aside: int = 3) -> list[Rule]:
+    """fold: 0 and 1 grow rules, 2 prunes them. Each kept rule is that precise on what it covers of fold 2.
+
+    The bad rows of a rule that is not are set aside, so that others can still be learned, up to
+    ``most_aside`` times; each time more rows of fold 2 must speak for a rule.
+    """
     rules: list[Rule] = []
-    left = np.ones(len(bad), bool)
-    while len(rules) < most_rules:
-        grow, prune = left & (fold != 2), left & (fold == 2)
+    left, aside, failed = np.ones(len(bad), bool), np.zeros(len(bad), bool), 0
+    while len(rules) < most_rules and failed <= most_aside:
+        grow, prune = left & (fold != 2) & ~aside, left & (fold == 2)
         if not (bad & grow).any() or not (bad & prune).any():
             break
         rule = _grow({k: v[grow] for k, v in x.items()}, bad[grow], most_conditions)
         rule, p, n = _prune(rule, {k: v[prune] for k, v in x.items()}, bad[prune])
-        if not rule or p < 2 or p < precision * (p + n):
+        covered = _covers(rule, x, len(bad)) & grow & bad if rule else np.zeros(len(bad), bool)
+        if rule and p >= 2 + 3 * failed and p >= precision * (p + n):
+            rules.append(rule)
+            left &= ~_covers(rule, x, len(bad))
+        elif covered.any():
+            aside |= covered
+            failed += 1
+        else:
             break
-        rules.append(rule)
-        left &= ~_covers(rule, x, len(bad))
     return rules
 
 
@@ -230,9 +242,12 @@ def fit(rows: DataFrame, labels: DataFrame, label: str = "quality", stats: str |
     """
     own = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(stats or "text").alias("stats" if stats else "text"))
     own = own.join(F.broadcast(labelled_sample(labels, label, most)), "doc_id")
-    own = own.dropDuplicates(["doc_id"])
-    if not stats:
-        own = with_stats(own)
+    # of rows that repeat a doc_id the one of the smallest digest, or the smallest statistics
+    if stats:
+        own = own.groupBy("doc_id", "order_", "label_").agg(F.min("stats").alias("stats"))
+    else:
+        own = own.groupBy("doc_id", "order_", "label_").agg(F.min(F.struct(F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "text")).alias("first"))
+        own = with_stats(own.select("doc_id", "order_", "label_", F.col("first.text").alias("text")))
     x = features(F.col("stats"))
     got = own.filter(~base_failed(F.col("stats"))).select("order_", "doc_id", "label_", *[v.alias(k) for k, v in x.items()]).toPandas()
     if got.empty:
