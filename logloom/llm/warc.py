@@ -12,7 +12,7 @@ a lost task's files are never read: only archives that the manifest names count.
 Defined results: a null html is an empty payload; a null url is written as ``urn:none`` and read
 as null; a null page_id is read as null, never is what others refer to unless all of its group
 are null, in which case each is a response; repeated rows of the largest page_id are all
-responses; an empty table gives no archives. Columns other than page_id, url and html are ignored.
+responses; a very long page is one record, in memory once; an empty table gives no archives. Columns other than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.common import materialize, shared_dir, table
+from logloom.llm.common import bounded_batches, materialize, shared_dir, table
 
 SKIPPABLE_MAGIC = 0x184D2A5D
 DICT_BYTES = 64 << 10
@@ -37,9 +37,12 @@ DICT_BYTES = 64 << 10
 DICT_RECORDS, DICT_SAMPLE_BYTES = 2_000, 8 << 20
 ARCHIVE_BYTES = 32 << 20
 LEVEL = 6
+BROADCAST_DIGESTS = 100_000
+#: Tasks that archives are read by at most, and the archives that each then reads one after another.
+MOST_READERS = 100_000
 DATE = "2024-01-01T00:00:00Z"
 _END = b"\r\n\r\n"
-MANIFEST = "path string, n_records long, raw_bytes long, stored_bytes long"
+MANIFEST = "path string, task int, number int, n_records long, raw_bytes long, stored_bytes long"
 RECORDS = "archive string, offset long, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
@@ -172,7 +175,7 @@ def _write_partition(folder: str):
             store.create_dir(path, recursive=True)
             with store.open_output_stream(f"{path}/{name}") as f:
                 f.write(data)
-            out = pd.DataFrame({"path": [f"{folder}/{name}"], "n_records": [len(held)], "raw_bytes": [size], "stored_bytes": [len(data)]})
+            out = pd.DataFrame({"path": [f"{folder}/{name}"], "task": [task.partitionId()], "number": [n], "n_records": [len(held)], "raw_bytes": [size], "stored_bytes": [len(data)]})
             held, size, n = [], 0, n + 1
             return out
 
@@ -192,12 +195,14 @@ def _write_partition(folder: str):
 
 def write_archives(pages: DataFrame, folder: str | None = None, min_payload: int = 0) -> DataFrame:
     """Archives the pages (page_id, url, html); returns the manifest of the archives written."""
+    bounded_batches(pages.sparkSession)
     folder = folder or shared_dir(pages.sparkSession)
     html = F.coalesce(F.col("html"), F.lit(""))
     keyed = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html).alias("hex"), F.octet_length(html).alias("size"))
-    # a written table, so that both sides of the join are plain exchanges and a hot digest's side can be split
+    # digests that repeat; up to BROADCAST_DIGESTS of them no page is shuffled, beyond that a hot digest's side can be split
     firsts = materialize(keyed.filter(F.col("size") >= min_payload).groupBy("hex").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hex", "first"))
-    rows = keyed.join(firsts, "hex", "left").select(
+    few = firsts.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
+    rows = keyed.join(F.broadcast(firsts) if few else firsts, "hex", "left").select(
         "page_id", "url", "html", _base32(F.col("hex")).alias("sha1"),
         F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"),
     )
@@ -245,8 +250,11 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
-    """The records of the archives that the manifest names, their payloads verified against the digests."""
-    return manifest.select("path").repartition("path").mapInPandas(_read_partition, RECORDS)
+    """The records of the archives that the manifest names, their payloads verified against the digests; one task an archive."""
+    tasks, numbers = manifest.agg(F.max("task") + 1, F.max("number") + 1).first()
+    n = min((tasks or 1) * (numbers or 1), MOST_READERS)
+    place = F.pmod(F.col("task") + F.col("number").cast("bigint") * (tasks or 1), F.lit(n)).cast("int")
+    return manifest.select("path", place.alias("place")).repartitionById(n, "place").mapInPandas(_read_partition, RECORDS)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
