@@ -7,7 +7,7 @@ Seeds of documents are joined to seeds of benchmark items; an equal seed propose
 two texts there. Each distinct alignment is verified over the whole item: it is a leak when of
 some WINDOW aligned words NEED are equal (for shorter items, that share of the item).
 
-A bitmap of fixed size tells which words the benchmark has; a document's seed is made only where
+A bitmap of bounded size tells which words the benchmark has; a document's seed is made only where
 it has all words under the mask's ones, as no other can be equal to one of the benchmark. The
 benchmark's seeds are broadcast up to BROADCAST_SEEDS of them, which are counted first, so
 documents' seeds meet them in the scan and are never shuffled; more are joined by shuffle.
@@ -16,7 +16,7 @@ Alignments are few, and bring the words of their documents alone by a join on th
 Defined results: null and empty texts have no seeds and are clean; items of fewer than
 MIN_WORDS words are no evidence and match nothing; a null item_id is reported as null; repeated
 documents count as one by doc_id (the largest value of each result counts), and rows with a null
-doc_id by their text; an empty benchmark leaves all documents clean. Other columns are kept by
+doc_id by their text; very long texts are taken whole, as one array of hashes; an empty benchmark leaves all documents clean. Other columns are kept by
 ``drop_contaminated`` and otherwise ignored.
 """
 
@@ -30,12 +30,11 @@ from pyspark.sql import functions as F
 
 from logloom.llm.common import free_name, materialize, row_key, table
 
-#: Ones are the words that a seed hashes. The SQL seeds with MASKS alone.
-MASKS = ("11011001", "11010110", "11010011")
-#: For the placements of NEED equal words in WINDOW, or of a shorter item's share, that none of MASKS fits into.
-MORE_MASKS = ("11111", "101000111")
-#: One byte each.
-BITMAP_CELLS = 1 << 14
+#: Ones are the words that a seed hashes. One of them fits into every placement of NEED equal words in
+#: WINDOW, and of a shorter item's share: no leak is missed.
+MASKS = ("11011001", "11010110", "11010011", "11111", "101000111")
+#: Cells of one byte each, at least and at most; between, CELLS_PER_WORD for each word of the benchmark.
+LEAST_CELLS, MOST_CELLS, CELLS_PER_WORD = 1 << 14, 1 << 20, 16
 WINDOW, NEED = 13, 10
 MIN_WORDS = 8
 BROADCAST_SEEDS = 500_000
@@ -52,20 +51,21 @@ def word_ids(text: Column) -> Column:
     return F.transform(F.filter(parts, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _cell(word: Column) -> Column:
-    return F.shiftrightunsigned(word, 32).bitwiseAND(BITMAP_CELLS - 1).cast("int")
+def _cell(word: Column, cells: int) -> Column:
+    return F.shiftrightunsigned(word, 32).bitwiseAND(cells - 1).cast("int")
 
 
-def vocabulary(items: DataFrame, ids: str) -> Column:
-    """The bitmap of the words of ids, a literal of BITMAP_CELLS bytes; as many rows at most come to the driver."""
-    rows = items.select(F.explode_outer(ids).alias("w")).filter("w is not null").select(_cell(F.col("w")).alias("at")).distinct()
-    cells = bytearray(BITMAP_CELLS)
-    for r in rows.collect():
+def vocabulary(items: DataFrame, ids: str) -> bytes:
+    """The bitmap of the words of ids, of a size that follows their number up to MOST_CELLS bytes; as many rows at most come to the driver."""
+    words = items.select(F.explode_outer(ids).alias("w")).filter("w is not null")
+    n = words.agg(F.approx_count_distinct("w")).first()[0]
+    cells = bytearray(min(MOST_CELLS, max(LEAST_CELLS, 1 << (CELLS_PER_WORD * n).bit_length())))
+    for r in words.select(_cell(F.col("w"), len(cells)).alias("at")).distinct().collect():
         cells[r["at"]] = 1
-    return F.lit(bytes(cells))
+    return bytes(cells)
 
 
-def seed_rows(df: DataFrame, ids: str, *keep: str, known: Column | None = None) -> DataFrame:
+def seed_rows(df: DataFrame, ids: str, *keep: str, known: bytes | None = None) -> DataFrame:
     """keep, pos and seed of each seed of each row; with ``known`` only where the bitmap has all words that the seed hashes."""
 
     def places(words: Column) -> Column:
@@ -75,14 +75,14 @@ def seed_rows(df: DataFrame, ids: str, *keep: str, known: Column | None = None)
                 # null past the end and for words that are not known
                 return F.when(reduce(and_, [w.isNotNull() for w in ones[1:]]), F.xxhash64(F.lit(k), *ones))
 
-            seeds = F.array(*[seed(k, m) for k, m in enumerate(MASKS + MORE_MASKS)])
+            seeds = F.array(*[seed(k, m) for k, m in enumerate(MASKS)])
             return F.when(first.isNotNull(), F.struct(i.alias("pos"), F.filter(seeds, lambda x: x.isNotNull()).alias("seeds")))
 
         return F.filter(F.transform(words, at), lambda x: F.size(x["seeds"]) > 0)
 
     words = F.col(ids)
     if known is not None:
-        words = F.transform(words, lambda w: F.when(F.substring(known, _cell(w) + 1, F.lit(1)) == F.lit(b"\x01"), w))
+        words = F.transform(words, lambda w: F.when(F.substring(F.lit(known), _cell(w, len(known)) + 1, F.lit(1)) == F.lit(b"\x01"), w))
     # outer: else the optimizer tests the size of what is exploded, and so makes it twice
     rows = df.select(*keep, F.explode_outer(_let(words, places)).alias("s_")).filter("s_ is not null")
     return rows.select(*keep, F.col("s_.pos").alias("pos"), F.explode_outer("s_.seeds").alias("seed"))
@@ -132,21 +132,19 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql_leaks(source: str) -> str:
-    """DuckDB SQL: key, doc_id, item_id, n_equal and n_alignments of each leak in the relation source."""
+    """DuckDB SQL: key, doc_id, item_id, n_equal and n_alignments of each leak in the relation source, by every alignment that shares words, without seeds."""
     words = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
-    seeds = " UNION ALL ".join(
-        f"SELECT {k} AS mask, p, t, id, {' || chr(1) || '.join(f't[p + {j + 1}]' for j, c in enumerate(m) if c == '1')} AS seed FROM (SELECT *, unnest(range(0, len(t) - {len(m)} + 1)) AS p FROM %s)" for k, m in enumerate(MASKS)
-    )
-    return f"""WITH dt AS (SELECT struct_pack(key := coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, ''))), doc_id := doc_id::BIGINT) AS id, {words} AS t FROM {source}),
-bt AS (SELECT item_id AS id, {words} AS t FROM benchmark WHERE len({words}) >= {MIN_WORDS}),
-ds AS ({seeds % (("dt",) * len(MASKS))}),
-bs AS ({seeds % (("bt",) * len(MASKS))}),
-hits AS (SELECT DISTINCT d.id.key AS key, d.id.doc_id AS doc_id, b.id AS item_id, d.t AS dt, b.t AS bt, d.p - b.p AS shift
-  FROM ds d JOIN bs b ON d.mask = b.mask AND d.seed = b.seed),
+    need = f"least({NEED}, ceil(len(bt) * {NEED / WINDOW!r}::DOUBLE))"
+    return f"""WITH dt AS (SELECT row_number() OVER () AS d, coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, ''))) AS key, doc_id::BIGINT AS doc_id, {words} AS dt FROM {source}),
+bt AS (SELECT row_number() OVER () AS i, item_id, {words} AS bt FROM benchmark WHERE len({words}) >= {MIN_WORDS}),
+bw AS (SELECT i, unnest(bt) AS w, unnest(range(0, len(bt))) AS q FROM bt),
+dw AS (SELECT d, w, p FROM (SELECT d, unnest(dt) AS w, unnest(range(0, len(dt))) AS p FROM dt) WHERE w IN (SELECT w FROM bw)),
+shifts AS (SELECT d, i, p - q AS shift, count(*) AS n FROM dw JOIN bw USING (w) GROUP BY ALL),
+hits AS (SELECT key, doc_id, item_id, dt, bt, shift FROM shifts JOIN bt USING (i) JOIN dt USING (d) WHERE n >= {need}),
 same AS (SELECT *, list_transform(range(0, len(bt)), lambda j: CASE WHEN j + shift >= 0 AND j + shift < len(dt) AND dt[j + shift + 1] = bt[j + 1] THEN 1 ELSE 0 END) AS m FROM hits),
 best AS (SELECT *, list_max(list_transform(range(0, greatest(len(bt) - {WINDOW}, 0) + 1), lambda j: list_sum(list_slice(m, j + 1, j + {WINDOW})))) AS n_equal FROM same)
 SELECT key, doc_id, item_id, max(n_equal)::INTEGER AS n_equal, count(DISTINCT shift)::BIGINT AS n_alignments FROM best
-WHERE n_equal >= least({NEED}, ceil(len(bt) * {NEED / WINDOW!r}::DOUBLE)) GROUP BY key, doc_id, item_id"""
+WHERE n_equal >= {need} GROUP BY key, doc_id, item_id"""
 
 
 def oracle_sql() -> str:
