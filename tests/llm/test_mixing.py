@@ -40,6 +40,47 @@ def test_same_rows_for_any_partitioning(spark):
     assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
 
 
+def test_quantiles_of_high_rates(spark):
+    """Against the summed distribution, and of a size that does not follow the rate."""
+    us = [2.0**-52, 1e-9, 0.001, 0.02, 0.3, 0.5, 0.77, 0.99, 0.99999, 1 - 1e-7]
+    df = spark.createDataFrame([(u,) for u in us], "u double")
+    from pyspark.sql import functions as F
+
+    for rate in (257.0, 900.0, 40_000.0):
+        got = [r[0] for r in df.select(m.poisson_quantile(F.col("u"), rate)).collect()]
+        cdf = m.poisson_cdf(rate)
+        assert all(abs(g - sum(c <= u for c in cdf)) <= 1 for g, u in zip(got, us, strict=True))
+    one = m.poisson_quantile(F.col("u"), 1e6)
+    assert abs(len(str(one)) - len(str(m.poisson_quantile(F.col("u"), 300.0)))) < 50 and abs(df.select(one).collect()[5][0] - 1e6) < 2
+
+
+def test_order_does_not_depend_on_partitions_and_equal_rows_are_strewn(spark):
+    rows = [(7, "same text", "hot", "c", 1)] * 1000 + [(i, f"text {i}", "s1", "c", i) for i in range(1000)]
+    df = spark.createDataFrame(rows, DOCS)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        seen = []
+        for parts, n in ((3, 4), (11, 9)):
+            out = m.mix_sources(df.repartition(parts), {}, epochs=2.0, seed="order", partitions=n)
+            assert out.rdd.getNumPartitions() == n
+            seen.append([tuple(r) for r in out.collect()])
+            equal = [sum(r["doc_id"] == 7 for r in part) for part in out.rdd.glom().collect()]
+            assert min(equal) > 0.5 * sum(equal) / n
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert seen[0] == seen[1]
+
+
+def test_many_copies_are_made_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(m, "CHUNK", 7)
+    df = spark.createDataFrame([(i, f"t{i}", "rare" if i < 3 else "s", "c", i) for i in range(60)], DOCS)
+    out = m.mix_sources(df, {"rare": 0.9}, epochs=20.0).collect()
+    copies = {}
+    for r in out:
+        copies.setdefault(r["doc_id"], []).append(r["copy_no"])
+    assert max(map(len, copies.values())) > 100 and all(sorted(v) == list(range(len(v))) for v in copies.values())
+
+
 def test_copies_are_numbered_and_shuffled(spark):
     rows = m.mix_sources(docs(spark, 600), {"hot": 0.9}).collect()
     seen = {}
