@@ -61,6 +61,8 @@ BITS = 1 << 24
 #: Prefix shingles are dealt to buckets planned for so many set members, and sorted so many at a time.
 BUCKET, SORTED = 3 << 20, 1 << 20
 MOST_PARTITIONS = 100_000
+#: A class with more than one in so many of all rows is hot.
+HOT = 10_000
 #: Shingles of the texts of a block, and texts.
 BLOCK, BLOCK_ROWS = 1 << 19, 512
 #: Ratio of the sizes at the ends of a class; over 4 / 3, so that linked sets are in one class or in neighbours.
@@ -544,7 +546,7 @@ def similar_documents(docs: DataFrame, n: int = N) -> DataFrame:
     order = np.argsort(keys)
     frequent = spark.sparkContext.broadcast((keys[order], top["df"].to_numpy(np.int64)[order], top["pivot"].to_numpy(np.int64)[order]))
 
-    shingles = mine.agg(F.sum("n")).first()[0] or 0
+    shingles, n_rows = mine.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(math.ceil(shingles / BUCKET), MOST_PARTITIONS))
     buckets = max(partitions, math.ceil(shingles / BUCKET))
     prefixes = rows.select("text").mapInArrow(_prefixes(frequent, n, buckets), PREFIX)
@@ -590,8 +592,13 @@ def similar_documents(docs: DataFrame, n: int = N) -> DataFrame:
     label = found.filter("whole").select("sig", "root").unionByName(over.select(F.col("node").alias("sig"), "root")).filter("sig <> root")
     label = materialize(classes.join(label, "sig", "left").select("sig", F.col("first.doc_id").alias("doc_id"), "copies", F.coalesce("root", "sig").alias("root")))
     smallest = materialize(label.groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    ids = label.join(smallest, "root").join(links, "sig", "left").select("sig", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = mine.join(materialize(ids), "sig", "left")
+    ids = label.join(smallest, "root").join(links, "sig", "left").select("sig", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
+    # classes with a large share of all rows are broadcast, fewer than HOT of them; the others' rows meet theirs by shuffle
+    ids = materialize(ids)
+    hot = materialize(ids.filter(F.col("n_copies") > n_rows / HOT))
+    some = mine.filter("n > 0")
+    cold = some.join(F.broadcast(hot.select("sig")), "sig", "left_anti").join(ids, "sig")
+    out = cold.unionByName(some.join(F.broadcast(hot), "sig")).unionByName(mine.filter("n = 0"), allowMissingColumns=True)
     return out.select("doc_id", "row_hash", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
