@@ -14,7 +14,8 @@ text) mod 5 is 0: those are held out. Every whole text is scored.
 
 Defined results: null and empty texts are scored as a mean of zeros; a null doc_id is held out;
 without labelled rows of both classes every score is the share of label 1, or 0.5 without any;
-repeated rows get equal scores; an empty table gives no rows; columns other than doc_id and text
+of labelled rows that repeat a doc_id with other texts one counts, whatever the partitions; repeated
+rows get equal scores; very long texts are worked off in pieces; an empty table gives no rows; columns other than doc_id and text
 are ignored.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm import tokens
-from logloom.llm.common import integer, materialize, table
+from logloom.llm.common import bounded_batches, integer, materialize, table
 
 DIM, VOCABULARY = 64, 1 << 14
 NONZERO, REACH = 6, 2
@@ -44,6 +45,8 @@ THRESHOLD = 0.3
 SEED = 7
 FEATURES = DIM + 3
 _BLOCK = 1 << 20
+#: Tokens of a text that are summed as one, and tokens whose vectors are taken at once.
+_SEGMENT, _TOKENS = 4096, 1 << 16
 _CLASS = np.zeros(256, np.uint8)  # 0 white space, 1 word, 2 other
 for _b in range(256):
     _CLASS[_b] = 0 if tokens.IS_SPACE[_b] else 1 if _b >= 128 or chr(_b).isalnum() else 2
@@ -80,6 +83,25 @@ def token_ids(block: tokens.Block) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([row, row[loud]])[order], ids
 
 
+def text_pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+    """lo, hi, row (from lo), token ids, and whether the piece goes on in the same text, of blocks of rows.
+
+    A longer text is cut behind white space into pieces of about _BLOCK bytes; where it is cut depends
+    on the text alone.
+    """
+    for b in tokens.blocks(column, limit=_BLOCK):
+        if len(b.data) <= 2 * _BLOCK or b.n > 1:
+            yield b.lo, b.hi, *token_ids(b), False
+            continue
+        spaces = np.flatnonzero(tokens.IS_SPACE[b.data])
+        at = 0
+        while at < len(b.data):
+            k = int(np.searchsorted(spaces, at + _BLOCK))
+            end = int(spaces[k]) + 1 if k < len(spaces) else len(b.data)
+            yield b.lo, b.hi, *token_ids(tokens.Block(0, 1, b.data[at:end], np.array([0, end - at]))), at > 0
+            at = end
+
+
 class ContextSums:
     """Sums, for each vocabulary row, the index vectors of its neighbours in the same text, in whole multiples of their entries."""
 
@@ -91,9 +113,11 @@ class ContextSums:
         self.codes: list[np.ndarray] = []
         self.waiting = 0
 
-    def add(self, row: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, row: np.ndarray, ids: np.ndarray, skip: int = 0) -> None:
+        """Pairs whose second token is one of the first ``skip`` were counted before."""
         for step in range(1, REACH + 1):
             same = np.flatnonzero(row[step:] == row[:-step])
+            same = same[same + step >= skip]
             self.codes.append((ids[same] * VOCABULARY + ids[same + step]).astype(np.int32))
             self.waiting += len(same)
         if self.waiting >= _PAIRS:
@@ -115,29 +139,65 @@ class ContextSums:
         return self.total.reshape(VOCABULARY, DIM)
 
 
-def pooled(row: np.ndarray, ids: np.ndarray, vectors: np.ndarray, n_rows: int) -> np.ndarray:
-    """FEATURES of each text."""
-    n = np.bincount(row, minlength=n_rows)
-    out = np.zeros((n_rows, FEATURES))
-    has = np.flatnonzero(n)
-    if len(has):
-        first = (np.cumsum(n) - n)[has]
-        own = vectors[ids]
-        out[has, :DIM] = np.add.reduceat(own, first, axis=0) / n[has, None]
+class Pool:
+    """Sums over the tokens of n_rows texts, in segments that depend on each text alone, a bounded number of tokens at a time."""
+
+    def __init__(self, vectors: np.ndarray, n_rows: int) -> None:
+        self.vectors = vectors
+        self.n = np.zeros(n_rows, np.int64)
+        self.total = np.zeros((n_rows, DIM))
+        self.alike = np.zeros(n_rows)
+        self.last: int | None = None
+
+    def add(self, row: np.ndarray, ids: np.ndarray, goes_on: bool = False) -> None:
+        """goes_on: the first row's text began in the tokens added before."""
+        if not len(ids):
+            return
+        n = np.bincount(row, minlength=len(self.n))
+        first = np.cumsum(n) - n
+        rank = np.arange(len(ids)) - first[row]
+        starts = np.flatnonzero(rank % _SEGMENT == 0)
+        bounds = np.append(starts, len(ids))
+        i = 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + _TOKENS, "right")) - 1)
+            lo, hi = bounds[i], bounds[j]
+            own = self.vectors[ids[lo:hi]]
+            np.add.at(self.total, row[starts[i:j]], np.add.reduceat(own, starts[i:j] - lo, axis=0).astype(float))
+            before = ids[lo - 1] if lo else self.last if goes_on else ids[0]
+            both = np.einsum("ij,ij->i", own, np.concatenate([self.vectors[[before]], own[:-1]])).astype(float)
+            both[rank[lo:hi] == 0] = 0
+            if goes_on and lo == 0:
+                both[0] = float(np.einsum("j,j->", own[0], self.vectors[before]))
+            np.add.at(self.alike, row[starts[i:j]], np.add.reduceat(both, starts[i:j] - lo))
+            i = j
+        self.n += n
+        self.last = int(ids[-1])
+
+    def features(self) -> np.ndarray:
+        out = np.zeros((len(self.n), FEATURES))
+        has = np.flatnonzero(self.n)
+        n = self.n[has]
+        out[has, :DIM] = self.total[has] / n[:, None]
         out[has, DIM] = np.sqrt((out[has, :DIM] ** 2).sum(1))
-        alike = np.zeros(len(ids))
-        alike[1:] = np.where(row[1:] == row[:-1], (own[1:] * own[:-1]).sum(1), 0)
-        out[has, DIM + 1] = np.add.reduceat(alike, first) / n[has]
-        out[has, DIM + 2] = np.log1p(n[has]) / 5
-    return out
+        out[has, DIM + 1] = self.alike[has] / n
+        out[has, DIM + 2] = np.log1p(n) / 5
+        return out
 
 
 def text_features(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    parts = []
-    for b in tokens.blocks(column, limit=_BLOCK):
-        row, ids = token_ids(b)
-        parts.append(pooled(row, ids, vectors, b.n))
-    return np.concatenate(parts) if parts else np.zeros((0, FEATURES))
+    out = np.zeros((len(column), FEATURES))
+    pool, at = None, None
+    for lo, hi, row, ids, goes_on in text_pieces(column):
+        if not goes_on:
+            if pool is not None:
+                out[at] = pool.features()
+            pool, at = Pool(vectors, hi - lo), slice(lo, hi)
+        pool.add(row, ids, goes_on)
+    if pool is not None:
+        out[at] = pool.features()
+    tokens.release()
+    return out
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -231,8 +291,14 @@ def _slices(total: np.ndarray) -> Iterator[pa.RecordBatch]:
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums = ContextSums()
     for batch in batches:
-        for b in tokens.blocks(batch.column(0), limit=_BLOCK):
-            sums.add(*token_ids(b))
+        tail = np.zeros(0, np.int64)
+        for _, _, row, ids, goes_on in text_pieces(batch.column(0)):
+            skip = len(tail) if goes_on else 0
+            if skip:
+                row, ids = np.append(np.zeros(skip, np.int64), row), np.append(tail, ids)
+            sums.add(row, ids, skip)
+            tail = ids[-REACH:]
+        tokens.release()
     yield from _slices(sums.table())
 
 
@@ -261,9 +327,12 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MAX_SAMPLE) -> Model:
     """The model of ``label``; features of ``most`` rows, and one table of sums, come to the driver."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     one = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id").cast("bigint"))).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min(label).cast("int").alias("y"))
     one = one.withColumn("order_", integer("classifier", F.col("doc_id").cast("string"))).orderBy("order_", "doc_id").limit(most)
-    sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(one), "doc_id").dropDuplicates(["doc_id"])
+    sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(one), "doc_id")
+    # of rows that repeat a doc_id the one of the smallest digest
+    sample = sample.groupBy("doc_id", "y", "order_").agg(F.min(F.struct(F.md5("text").alias("digest"), "text")).alias("first")).select("doc_id", "y", "order_", F.col("first.text").alias("text"))
     sample = materialize(sample.repartition(PARTS, "doc_id").sortWithinPartitions("order_", "doc_id"))
     vectors = word_vectors(docs.filter(~held_out(F.col("doc_id").cast("bigint"))))
 
@@ -271,10 +340,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = text_features(batch.column(2), shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["order_", "y", "x"])
+            x = text_features(batch.column(3), shared.value)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["order_", "doc_id", "y", "x"])
 
-    rows = sample.select("order_", "y", "text").mapInArrow(features, "order_ long, y int, x array<double>").toPandas().sort_values("order_")
+    rows = sample.select("order_", "doc_id", "y", "text").mapInArrow(features, "order_ long, doc_id long, y int, x array<double>").toPandas().sort_values(["order_", "doc_id"])
     if not len(rows):
         return Model(vectors, None)
     x, y, order = np.array(rows["x"].tolist()), rows["y"].to_numpy(float), rows["order_"].to_numpy()

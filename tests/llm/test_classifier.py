@@ -47,7 +47,34 @@ def test_texts_are_pooled_alike_in_any_batch():
     index = c.index_vectors()
     whole = c.text_features(pa.array(texts), index)
     single = np.concatenate([c.text_features(pa.array([t], pa.string()), index) for t in texts])
-    assert np.allclose(whole, single, atol=1e-6) and not whole[1:4].any()
+    assert (whole == single).all() and not whole[1:4].any()
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    rng = np.random.default_rng(5)
+    words = ["word", "WORD", "ab", "x1", "--", "é", "zz,yy"]
+    text = " ".join(rng.choice(words, 3000))
+    texts = [text, "short", "u" * 5000 + " v", text + " end"]
+    index = c.index_vectors()
+    sums = c.ContextSums()
+    for b in c.tokens.blocks(pa.array(texts)):
+        sums.add(*c.token_ids(b))
+    whole = c.text_features(pa.array(texts), index)
+    monkeypatch.setattr(c, "_BLOCK", 700)
+    monkeypatch.setattr(c, "_SEGMENT", 50)
+    monkeypatch.setattr(c, "_TOKENS", 120)
+    assert np.allclose(c.text_features(pa.array(texts), index), whole, atol=1e-5)
+    got = np.zeros((c.VOCABULARY, c.DIM), np.int64)
+    c._add_sums(((r.as_py(), x.as_py()) for b in c._sums(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])) for r, x in zip(b.column(1), b.column(2), strict=True)), got)
+    assert (got == sums.table()).all()
+
+
+def test_same_model_for_any_partitions_and_repeated_ids(spark):
+    rows = [(i % 40, f"text {i} " + ("good words here" if i % 2 else "** bad ##") * (1 + i % 3)) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = [sorted(map(tuple, c.score(df, c.fit(df.repartition(n), labels)).select("doc_id", "score").collect())) for n in (1, 7)]
+    assert scores[0] == scores[1]
 
 
 def test_network_learns_and_is_calibrated():
