@@ -42,14 +42,22 @@ def seed_state(i: int) -> int:
     return h
 
 
+def _bytes(key: Column) -> Column:
+    digits, n = F.hex(key), F.length(key)
+    places = F.when(n == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(n, F.lit(1))))
+    return F.transform(places, lambda p: F.conv(F.substring(digits, 2 * p - 1, F.lit(2)), 16, 10).cast("bigint"))
+
+
 def position(key: Column, i: int, m: int) -> Column:
     """Bit position of hash i of a binary key. The 64-bit state is kept as two 32-bit halves, which never overflow a bigint."""
-    start = seed_state(i)
-    digits = F.hex(key)
-    n = F.length(key)
-    places = F.when(n == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(n, F.lit(1))))
-    bytes_ = F.transform(places, lambda p: F.conv(F.substring(digits, 2 * p - 1, F.lit(2)), 16, 10).cast("bigint"))
+    return F.get(_positions(key, [i], m), 0)
+
+
+def _positions(key: Column, hashes: list[int], m: int) -> Column:
+    """One fold over the key's bytes carries the states of all hashes."""
     mask = F.lit(0xFFFFFFFF).cast("bigint")
+    start = F.array(*[F.struct(F.lit(h >> 32).cast("bigint").alias("hi"), F.lit(h & 0xFFFFFFFF).cast("bigint").alias("lo")) for h in map(seed_state, hashes)])
+
     # the prime is 2**40 + 435
     def step(s: Column, b: Column) -> Column:
         x = s["lo"].bitwiseXOR(b)
@@ -57,12 +65,12 @@ def position(key: Column, i: int, m: int) -> Column:
         high = (s["hi"] * 435 + F.shiftrightunsigned(low, 32) + F.shiftleft(x, 8)).bitwiseAND(mask)
         return F.struct(high.alias("hi"), low.bitwiseAND(mask).alias("lo"))
 
-    init = F.struct(F.lit(start >> 32).cast("bigint").alias("hi"), F.lit(start & 0xFFFFFFFF).cast("bigint").alias("lo"))
-    return F.aggregate(bytes_, init, step, lambda s: ((s["hi"] % m) * F.lit((1 << 32) % m).cast("bigint") + s["lo"] % m) % m)
+    place = lambda s: ((s["hi"] % m) * F.lit((1 << 32) % m).cast("bigint") + s["lo"] % m) % m
+    return F.aggregate(_bytes(key), start, lambda states, b: F.transform(states, lambda s: step(s, b)), lambda states: F.transform(states, place))
 
 
 def positions(key: Column, config: BloomConfig) -> Column:
-    return F.array(*[position(key, i, config.m) for i in range(config.k)])
+    return _positions(key, list(range(config.k)), config.m)
 
 
 def masks(df: DataFrame, key: str, config: BloomConfig, *by: str) -> DataFrame:
@@ -79,8 +87,23 @@ def is_set(bitmap: Column, p: Column) -> Column:
     return F.getbit(F.conv(F.hex(byte), 16, 10).cast("bigint"), (place % 8).cast("int")) == 1
 
 
+def union_masks(a: DataFrame, b: DataFrame, *by: str) -> DataFrame:
+    """The filters of all keys of a and b, which have the same sizes: new keys are added by the OR of their mask."""
+    return a.unionByName(b).groupBy(*by, "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+
+
 def maybe_contains(probes: DataFrame, key: str, filters: DataFrame, config: BloomConfig, *by: str) -> DataFrame:
-    """by and key of each probe that a group's filter may hold. The probes are joined to buckets by equality."""
-    bits = probes.select(key, F.explode(positions(F.col(key), config)).alias("p")).withColumn("bucket", F.bitmap_bucket_number(F.col("p") + 1))
-    hit = bits.join(filters, "bucket").filter(is_set(F.col("bitmap"), F.col("p")))
-    return hit.groupBy(*by, key).agg(F.countDistinct("p").alias("n_")).join(bits.groupBy(key).agg(F.countDistinct("p").alias("all_")), key).filter("n_ = all_").select(*by, key)
+    """by and key of each probe that its group's filter may hold.
+
+    Probes have the columns by, and meet the one row that their group's filter has for each bucket
+    of their bits. A filter without groups has m / 32768 rows, which follow its planned size, not
+    the data.
+    """
+    bits = probes.select(*by, key, positions(F.col(key), config).alias("p_")).distinct()
+    if config.m <= 32768:  # one bucket: all bits of a probe meet one bitmap
+        if not by:
+            return bits.withColumn("bitmap", filters.agg(F.bitmap_or_agg("bitmap")).scalar()).filter(F.forall("p_", lambda p: is_set(F.col("bitmap"), p))).select(key)
+        return bits.join(filters, list(by)).filter(F.forall("p_", lambda p: is_set(F.col("bitmap"), p))).select(*by, key)
+    one = bits.select(*by, key, F.explode(F.array_distinct("p_")).alias("p"), F.size(F.array_distinct("p_")).alias("all_")).withColumn("bucket", F.bitmap_bucket_number(F.col("p") + 1))
+    hit = one.join(filters, [*by, "bucket"]).filter(is_set(F.col("bitmap"), F.col("p")))
+    return hit.groupBy(*by, key, "all_").agg(F.count(F.lit(1)).alias("n_")).filter("n_ = all_").select(*by, key)

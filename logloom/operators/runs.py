@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logloom.plans.logs import FAN_IN, INDEX_STEP, RECORD_OVERHEAD, newest
+from logloom.functions import bloom
+from logloom.plans.logs import FAN_IN, INDEX_STEP, RECORD_OVERHEAD, last_by, newest
+
+#: Probes' runs that are broadcast at most; more are joined by shuffle.
+BROADCAST_PROBES = 100_000
 
 
 def live(log: DataFrame) -> DataFrame:
@@ -19,8 +23,7 @@ def live(log: DataFrame) -> DataFrame:
 
 def replayed(log: DataFrame) -> DataFrame:
     """The last record of each key by log position, tombstones too."""
-    w = Window.partitionBy("k").orderBy(F.desc("seq"))
-    return log.withColumn("rn_", F.row_number().over(w)).filter("rn_ = 1").drop("rn_")
+    return last_by(log, ("seq",), "k")
 
 
 def with_positions(runs: DataFrame) -> DataFrame:
@@ -77,18 +80,26 @@ def pruned(manifest_rows: DataFrame, probe: str) -> DataFrame:
     return manifest_rows.filter((F.col("min_key") <= probe) & (F.col("max_key") >= probe))
 
 
-def index_floor(runs: DataFrame, probes: list[str]) -> DataFrame:
-    """probe, seg and the last indexed position not after the probe, in runs whose range holds it."""
+def _probed(runs: DataFrame, probes: list[str]) -> DataFrame:
+    """The records, with positions, of runs whose range holds a probe, and the probe; other runs are never sorted."""
     keys = F.explode(F.array(*[F.lit(p) for p in probes])).alias("probe")
     ranges = manifest(runs).select("seg", "min_key", "max_key", keys).filter("min_key <= probe and probe <= max_key").select("seg", "probe")
-    hits = sparse_index(runs).join(F.broadcast(ranges), "seg").filter("k <= probe")
+    few = ranges.limit(BROADCAST_PROBES + 1).count() <= BROADCAST_PROBES
+    asked = F.broadcast(ranges) if few else ranges
+    return with_positions(runs.join(asked.select("seg").distinct(), "seg", "left_semi")).join(asked, "seg")
+
+
+def index_floor(runs: DataFrame, probes: list[str]) -> DataFrame:
+    """probe, seg and the last indexed position not after the probe, in runs whose range holds it."""
+    hits = _probed(runs, probes).filter((F.col("pos") % INDEX_STEP == 0) & (F.col("k") <= F.col("probe")))
     return hits.groupBy("probe", "seg").agg(F.max("pos").alias("pos"))
 
 
 def block_scan(runs: DataFrame, probes: list[str]) -> DataFrame:
     """The records that the probes' index blocks hold for them."""
-    start = index_floor(runs, probes).withColumnRenamed("pos", "start")
-    rows = with_positions(runs).join(F.broadcast(start), "seg")
+    rows = _probed(runs, probes)
+    start = F.max(F.when((F.col("pos") % INDEX_STEP == 0) & (F.col("k") <= F.col("probe")), F.col("pos"))).over(Window.partitionBy("seg", "probe"))
+    rows = rows.withColumn("start", start)
     return rows.filter((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("start") + INDEX_STEP) & (F.col("k") == F.col("probe"))).select("probe", "seg", "pos", "v", "ts", "seq", "op")
 
 
@@ -99,5 +110,20 @@ def lookup_newest(runs: DataFrame, keys: DataFrame) -> DataFrame:
 
 def lookup_oldest_run(runs: DataFrame) -> DataFrame:
     """What a probe of runs from old to new answers first: each key's record in its oldest run."""
-    w = Window.partitionBy("k").orderBy("seg")
-    return runs.withColumn("rn_", F.row_number().over(w)).filter("rn_ = 1").select("k", "seg", "v", "ts", "op")
+    return runs.groupBy("k").agg(F.min(F.struct("seg", "v", "ts", "op")).alias("r_")).select("k", "r_.*")
+
+
+def lookup_pruned(runs: DataFrame, keys: DataFrame, config: bloom.BloomConfig) -> DataFrame:
+    """As lookup_newest, but of each key only runs are read whose range holds it and whose filter may.
+
+    keys has k. Returns k, v, ts, and n_runs, the runs that were probed. A key meets the runs of its
+    range by a join on the range's manifest rows, then their filters by run, then their records by
+    run and key.
+    """
+    ranges = manifest(runs).select("seg", "min_key", "max_key")
+    probes = keys.select("k").distinct().join(ranges, (F.col("k") >= F.col("min_key")) & (F.col("k") <= F.col("max_key"))).select("seg", "k")
+    masks = bloom.masks(runs.select("seg", F.col("k").cast("binary").alias("key")), "key", config, "seg")
+    asked = bloom.maybe_contains(probes.select("seg", "k", F.col("k").cast("binary").alias("key")), "key", masks, config, "seg").select("seg", F.col("key").cast("string").alias("k"))
+    hits = runs.join(asked, ["seg", "k"])
+    counts = asked.groupBy("k").agg(F.count(F.lit(1)).alias("n_runs"))
+    return newest(hits, "k").filter("op = 0").select("k", "v", "ts").join(counts, "k")

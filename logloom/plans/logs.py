@@ -54,8 +54,9 @@ def segmented(log: DataFrame, budget: int = FLUSH_BYTES) -> DataFrame:
     The running sum has two levels: rows are summed inside pieces of the seq range, and the pieces'
     totals, _PIECES rows, are summed before them; so no task holds the whole log.
     """
-    sized = log.withColumn("b_", (F.lit(ENTRY_OVERHEAD) + F.octet_length("k") + F.octet_length("v")).cast("bigint"))
-    low, high = log.agg(F.min("seq")).scalar(), log.agg(F.max("seq")).scalar()
+    sized = log.withColumn("b_", (F.lit(ENTRY_OVERHEAD) + F.octet_length("k") + F.coalesce(F.octet_length("v"), F.lit(0))).cast("bigint"))
+    ends = log.agg(F.struct(F.min("seq").alias("low"), F.max("seq").alias("high")).alias("e")).scalar()
+    low, high = ends["low"], ends["high"]
     width = F.greatest(F.lit(1), F.ceil((high - low + 1) / _PIECES))
     pieces = sized.withColumn("piece_", F.floor((F.col("seq") - low) / width))
     before = Window.orderBy("piece_").rowsBetween(Window.unboundedPreceding, -1)
@@ -66,9 +67,15 @@ def segmented(log: DataFrame, budget: int = FLUSH_BYTES) -> DataFrame:
 
 
 def newest(log: DataFrame, *keys: str) -> DataFrame:
-    """The newest record of each key by (ts, seq)."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("ts"), F.desc("seq"))
-    return log.withColumn("rn_", F.row_number().over(w)).filter("rn_ = 1").drop("rn_")
+    """The newest record of each key by (ts, seq): a maximum, so versions are combined before the shuffle and nothing is sorted by time."""
+    return last_by(log, ("ts", "seq"), *keys)
+
+
+def last_by(log: DataFrame, order: tuple[str, ...], *keys: str) -> DataFrame:
+    """The row of each key that is largest by the columns of order."""
+    rest = [c for c in log.columns if c not in keys and c not in order]
+    best = F.max(F.struct(*order, *rest)).alias("r_")
+    return log.groupBy(*keys).agg(best).select(*[c if c in keys else F.col(f"r_.{c}").alias(c) for c in log.columns])
 
 
 def runs(log: DataFrame, budget: int = FLUSH_BYTES) -> DataFrame:

@@ -16,6 +16,7 @@ from logloom.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+_SQL: list[tuple[str, str | Callable[[], str]]] = []
 
 PROBES = ["0000000777", "0000005000"]
 BLOOM = bloom.optimal(1000, 0.01)
@@ -25,7 +26,7 @@ def query(name: str, sql: str | None):
     def add(f):
         QUERIES[name] = f
         if sql is not None:
-            ORACLE_SQL[name] = sql
+            _SQL.append((name, sql))
         return f
 
     return add
@@ -209,17 +210,30 @@ def block_scan(spark, sf_dir):
     return ops.block_scan(logs.runs(logs.log_event(spark, sf_dir)), PROBES)
 
 
-@query("lookup_newest", f"{_user()} SELECT k, v, ts FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts DESC, seq DESC) AS rn FROM lat WHERE k::BIGINT % 3 = 0) WHERE rn = 1 AND op = 0")
+@query("lookup_newest", f"{_user()} SELECT k, v, ts FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts DESC, seq DESC) AS rn FROM lat) WHERE rn = 1 AND op = 0")
 def lookup_newest(spark, sf_dir):
     log = logs.log_user(spark, sf_dir)
-    keys = log.select("k").distinct().filter(F.col("k").cast("bigint") % 3 == 0)
-    return ops.lookup_newest(logs.runs(log), keys)
+    return ops.lookup_newest(logs.runs(log), log.select("k").distinct())
+
 
+RUN_BLOOM = bloom.optimal(100, 0.01)
 
-@query("lookup_newest_all", f"{_user()} SELECT k, v, ts FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts DESC, seq DESC) AS rn FROM lat) WHERE rn = 1 AND op = 0")
-def lookup_newest_all(spark, sf_dir):
+
+@query(
+    "lookup_pruned",
+    lambda: f"""{_user()}, {_MANIFEST}, {_seeds(RUN_BLOOM)}, bits AS (SELECT DISTINCT seg, {_position(RUN_BLOOM.m)} AS p FROM (SELECT seg, k FROM lat), starts s),
+asks AS (SELECT m.seg, u.k FROM (SELECT DISTINCT k FROM log) u JOIN man m ON u.k >= m.min_key AND u.k <= m.max_key),
+probe AS (SELECT seg, k, {_position(RUN_BLOOM.m)} AS p FROM asks, starts s),
+hits AS (SELECT probe.seg, probe.k FROM probe LEFT JOIN bits ON probe.seg = bits.seg AND probe.p = bits.p GROUP BY probe.seg, probe.k HAVING count(*) = count(bits.p)),
+n AS (SELECT k, count(*)::BIGINT AS n_runs FROM hits GROUP BY k)
+SELECT l.k, v, ts, n_runs FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts DESC, seq DESC) AS rn FROM lat) l JOIN n ON l.k = n.k WHERE rn = 1 AND op = 0""",
+)
+def lookup_pruned(spark, sf_dir):
+    """Every key of the log against the runs that range and filter leave for it."""
     log = logs.log_user(spark, sf_dir)
-    return ops.lookup_newest(logs.runs(log), log.select("k").distinct())
+    path = shared_dir(spark)
+    logs.runs(log).write.parquet(path)  # as a flush leaves them: made once, then read by manifest, filters and probes
+    return ops.lookup_pruned(spark.read.parquet(path), log.select("k").distinct(), RUN_BLOOM)
 
 
 @query("lookup_oldest_run_first", f"{_user()} SELECT k, seg, v, ts, op FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seg) AS rn FROM lat) WHERE rn = 1")
@@ -265,9 +279,19 @@ def level_remove_runs(spark, sf_dir):
 
 # Bloom filters
 
-_POSITION = f"""((list_reduce(list_prepend(s.start::HUGEINT, list_transform(range(1, length(k) + 1), lambda p: ascii(substr(k, p::INTEGER, 1))::HUGEINT)),
-  lambda h, b: (xor(h, b) * {bloom.FNV_PRIME}::HUGEINT) % 18446744073709551616::HUGEINT)) % {BLOOM.m})::BIGINT"""
-_SEEDS = "starts AS (SELECT unnest(range(0, {0}))::INTEGER AS i, unnest([{1}]) AS start)".format(BLOOM.k, ", ".join(f"{bloom.seed_state(i)}::HUGEINT" for i in range(BLOOM.k)))
+#: Stated for SQL by itself: salts of the hashes, and FNV-1a over their eight little-endian bytes.
+def _seeds(config) -> str:
+    fold = "(xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT"
+    return f"""salts AS (SELECT i::INTEGER AS i, (i::HUGEINT * [11400714819323198485::HUGEINT, 13787848793156543929::HUGEINT, 10723151780598845931::HUGEINT, 6910470480331203605::HUGEINT][i % 4 + 1]) % 18446744073709551616::HUGEINT AS salt FROM range(0, {config.k}) t(i)),
+starts AS (SELECT i, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(0, 8), lambda j: (salt >> (8 * j)::INTEGER) & 255::HUGEINT)), lambda h, b: {fold}) AS start FROM salts)"""
+
+
+def _position(m: int) -> str:
+    return f"""((list_reduce(list_prepend(s.start::HUGEINT, list_transform(range(1, length(k) + 1), lambda p: ascii(substr(k, p::INTEGER, 1))::HUGEINT)),
+  lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)) % {m})::BIGINT"""
+
+
+_POSITION, _SEEDS = _position(BLOOM.m), _seeds(BLOOM)
 _KEYS = f"{_user(False)}, {_SEEDS}, keys AS (SELECT DISTINCT k FROM log), bits AS (SELECT DISTINCT {_POSITION} AS p FROM keys, starts s)"
 _HITS = f"hits AS (SELECT k FROM (SELECT k, {_POSITION} AS p FROM (SELECT DISTINCT o_custkey::VARCHAR AS k FROM orders), starts s) q GROUP BY k HAVING bool_and(p IN (SELECT p FROM bits)))"
 
@@ -278,10 +302,9 @@ def _user_keys(spark, sf_dir):
 
 @query("bloom_params", "WITH c AS (SELECT 1000::BIGINT AS n, unnest([0.01, 0.005, 0.5, 1.5]) AS p), q AS (SELECT n, p, CASE WHEN p > 0 AND p < 1 THEN p ELSE 0.01 END AS own FROM c), r AS (SELECT n, p, floor(-n * ln(own) / pow(ln(2), 2))::BIGINT AS m FROM q) SELECT n, p::DOUBLE AS p, m, ceil(m::DOUBLE / n * ln(2))::BIGINT AS k FROM r")
 def bloom_params(spark, sf_dir):
-    rates = spark.range(1).select(F.lit(1000).cast("bigint").alias("n"), F.explode(F.array(*[F.lit(x) for x in (0.01, 0.005, 0.5, 1.5)])).alias("p"))
-    own = F.when((F.col("p") > 0) & (F.col("p") < 1), F.col("p")).otherwise(0.01)
-    m = F.floor(-F.col("n") * F.ln(own) / F.pow(F.ln(F.lit(2.0)), F.lit(2)))
-    return rates.select("n", "p", m.cast("bigint").alias("m")).select("n", "p", "m", F.ceil(F.col("m").cast("double") / F.col("n") * F.ln(F.lit(2.0))).cast("bigint").alias("k"))
+    rates = (0.01, 0.005, 0.5, 1.5)
+    sizes = [(1000, p, c.m, c.k) for p in rates for c in [bloom.optimal(1000, p)]]
+    return spark.createDataFrame(sizes, "n long, p double, m long, k long")
 
 
 @query("bloom_positions", f"{_KEYS} SELECT k, i, {_POSITION} AS p FROM keys, starts s")
@@ -348,3 +371,55 @@ def stream_ingest_live_view(spark, sf_dir):
     path = shared_dir(spark)
     ingest.ingest(log, f"{path}/runs", f"{path}/checkpoint")
     return ops.live(ingest.read_runs(spark, f"{path}/runs")).select("k", "v", "ts")
+
+
+# the durable store
+
+
+def _store(spark, **settings):
+    from logloom.sources.config import StoreConfig
+    from logloom.sources.store import Store
+
+    return Store(spark, f"{shared_dir(spark)}/store", StoreConfig(**settings))
+
+
+def _filled(spark, sf_dir, parts: int = 4, **settings):
+    """The user log, written to a store in parts of its seq range, a flush after each but the last."""
+    log = logs.log_user(spark, sf_dir)
+    low, high = log.agg(F.min("seq"), F.max("seq")).first()
+    store = _store(spark, **settings)
+    part = F.floor((F.col("seq") - low) * parts / (high - low + 1))
+    for i in range(parts):
+        store.write(log.filter(part == i).repartitionByRange("seq").sortWithinPartitions("seq").select("k", "v", "ts", "op"))
+        if i + 1 < parts:
+            store.flush()
+    return store
+
+
+_STORE_SQL = f"{_user(False)} SELECT k, v, ts FROM {_NEWEST} WHERE op = 0"
+
+
+@query("store_put_get", f"{_user(False)} SELECT u.k, l.v FROM (SELECT DISTINCT k FROM log) u LEFT JOIN (SELECT * FROM {_NEWEST} WHERE op = 0) l ON u.k = l.k")
+def store_put_get(spark, sf_dir):
+    """Every key of the log, asked of a store that has flushed runs and an open segment."""
+    return _filled(spark, sf_dir).get(logs.log_user(spark, sf_dir).select("k").distinct())
+
+
+@query("store_compact", _STORE_SQL)
+def store_compact(spark, sf_dir):
+    """The live view after flushes and compactions that the store starts by itself."""
+    return _filled(spark, sf_dir, 5, fan_in=2, auto=True).live().select("k", "v", "ts")
+
+
+@query("store_gc", "SELECT 4::BIGINT AS n_segments_gone, 4::BIGINT AS n_runs_gone, count(*)::BIGINT AS n_live FROM (" + _STORE_SQL + ")")
+def store_gc(spark, sf_dir):
+    """What one sweep removes after four flushes and a compaction, and the keys that are left."""
+    store = _filled(spark, sf_dir)
+    store.flush()
+    store.compact()
+    gone = store.gc(0)
+    n = [sum(x.startswith(f) for x in gone) for f in ("log/", "runs/")]
+    return store.live().agg(F.lit(n[0]).cast("bigint").alias("n_segments_gone"), F.lit(n[1]).cast("bigint").alias("n_runs_gone"), F.count(F.lit(1)).alias("n_live"))
+
+
+ORACLE_SQL |= {name: sql if isinstance(sql, str) else sql() for name, sql in _SQL}

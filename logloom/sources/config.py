@@ -9,13 +9,15 @@ from dataclasses import dataclass, fields
 @dataclass(frozen=True)
 class StoreConfig:
     """flush_bytes: of a segment before it is flushed. fan_in: runs that a compaction merges.
-    gc_min_age: seconds before an unnamed file may go. bloom_fpr: of the run files' Parquet Bloom filters."""
+    gc_min_age: seconds before an unnamed file may go. bloom_fpr: of the run files' Parquet Bloom filters.
+    auto: a write flushes what has reached flush_bytes, and a flush compacts levels that are full."""
 
     flush_bytes: int = 64 << 20
     fan_in: int = 4
     gc_min_age: float = 3600.0
     bloom_fpr: float = 0.005
     index_step: int = 20
+    auto: bool = False
 
 
 def load_config(path: str | None = None, env: str = "CONFIG_DIR") -> StoreConfig:
@@ -30,5 +32,6 @@ def load_config(path: str | None = None, env: str = "CONFIG_DIR") -> StoreConfig
         for line in f:
             key, _, value = line.split("#")[0].partition(":")
             if key.strip() in types and value.strip():
-                found[key.strip()] = types[key.strip()](value.strip())
+                kind, value = types[key.strip()], value.strip()
+                found[key.strip()] = value.lower() == "true" if kind is bool else kind(value)
     return StoreConfig(**found)

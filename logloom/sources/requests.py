@@ -19,10 +19,11 @@ def error(message: str, status: int) -> Column:
 
 
 def parse_puts(bodies: DataFrame, body: str = "body") -> DataFrame:
-    """key, value, status and error of each put body: 400 for bad JSON, and for an empty key or value."""
-    parsed = F.from_json(F.col(body), "key string, value string, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    rows = bodies.withColumn("r_", parsed)
-    bad = F.col("r_").isNull() | F.col("r_._corrupt").isNotNull()
+    """key, value, status and error of each put body: 400 for bad JSON, and for an empty key or value. Field names match in any case, the last counts."""
+    parsed = F.from_json(F.col(body), "map<string,string>", {"mode": "PERMISSIVE"})
+    field = lambda name: F.get(F.reverse(F.filter(F.map_entries(F.col("m_")), lambda e: F.lower(e["key"]) == name)), 0)["value"]
+    rows = bodies.withColumn("m_", parsed).withColumn("r_", F.struct(field("key").alias("key"), field("value").alias("value")))
+    bad = F.col("m_").isNull()
     empty = (F.coalesce(F.octet_length("r_.key"), F.lit(0)) == 0) | (F.coalesce(F.octet_length("r_.value"), F.lit(0)) == 0)
     none = F.lit(None).cast("struct<message:string,error:string,code:int>")
     return rows.select(
