@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from logloom.llm import tokens
-from logloom.llm.common import bounded_batches, free_name, materialize, table
+from logloom.llm.common import bounded_batches, discard, free_name, materialize, table
 from logloom.llm.components import connected
 
 N = 5
@@ -565,10 +565,11 @@ def similar_documents(docs: DataFrame, n: int = N) -> DataFrame:
     both = F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0)))
     pairs = pairs.filter(F.col("n_") >= F.col("need") - both).select("a", "b").unionByName(ties)
     clusters = connected(pairs)
+    discard(met, ranked, firsts, uncounted)
     members = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
 
     classes = materialize(mine.filter("n > 0").groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")).alias("first"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n")))
-    own = materialize(classes.join(members.withColumnRenamed("node", "sig"), "sig").select("sig", "root", "copies", "n", F.col("first.row_hash").alias("row_hash")))
+    own = joined = materialize(classes.join(members.withColumnRenamed("node", "sig"), "sig").select("sig", "root", "copies", "n", F.col("first.row_hash").alias("row_hash")))
     # a cluster of one block is whole; of others linked sets are in one class of sizes or in neighbours
     total = own.groupBy("root").agg((F.count(F.lit(1)) <= BLOCK_ROWS).alias("few"), (F.sum("n") <= BLOCK).alias("short")).select("root", (F.col("few") & F.col("short")).alias("whole"))
     step = F.when(F.col("whole"), 0).otherwise(F.floor(F.log("n") / math.log(STEP))).cast("bigint")
@@ -586,6 +587,7 @@ def similar_documents(docs: DataFrame, n: int = N) -> DataFrame:
     texts = wanted.join(dealt, "row_hash").select("cluster", "i", "j", "sig", "copies", "block", "whole", "text")
     found = texts.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "block").mapInArrow(_verify(n), "sig long, root long, links long, whole boolean")
     found = materialize(found)
+    discard(joined, own, dealt)
 
     links = found.groupBy("sig").agg(F.sum("links").alias("links"))
     over = connected(found.filter("not whole").select(F.col("sig").alias("a"), F.col("root").alias("b")))
