@@ -25,7 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """The verdicts of 5, 6, 7 and 10 come from learned or hand-written rules that SQL cannot state; they are tested by brute force."""
+    """The verdicts of 5, 6, 7 and 10 come from learned or hand-written rules that SQL cannot state; the README says how each is tested."""
     return {
         "op1_mixing": mixing.oracle_sql(),
         "op2_warc": warc.oracle_sql(),
