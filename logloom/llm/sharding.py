@@ -4,10 +4,12 @@ A row descends region, rack and shard levels. At each level every child draws
 ``-ln(u) / weight`` with u hashed from (seed, path of the child, row key), and the smallest
 draw wins, so a child gets rows in proportion to its weight. A changed weight alters the
 draws of that child alone: rows move only into or out of its subtree. ``grown`` adds a shard
-as a region of its own with that shard's weight, so all moved rows enter the new shard.
+as a region of its own with that shard's weight, so all moved rows enter the new shard;
+``build_tree`` adds its shards beyond N_SHARDS in the same way, so that count alone decides.
 
 Defined results: a null doc_id draws by the digest of its text; a null text has size 16 and
-CRC 0; repeated rows land in one shard with a slot each; an empty table gives no rows; input
+CRC 0; repeated rows land in one shard with a slot each, and are one row until then; a text of
+any length is hashed where it is read and goes no further; an empty table gives no rows; input
 columns beyond doc_id and text are ignored by ``shard_report`` and kept by ``assign_shards``.
 """
 
@@ -26,6 +28,8 @@ N_SHARDS = 40
 RACKS, SHARDS_PER_RACK = 4, 5
 #: Rows of a shard are numbered in this many independent pieces.
 SLOT_PIECES = 64
+#: Equal rows that one task numbers.
+CHUNK = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -39,7 +43,9 @@ class Node:
 
 
 def build_tree(n_shards: int = N_SHARDS) -> Node:
-    """Regions of RACKS racks of SHARDS_PER_RACK shards, each weighing its shard count."""
+    """Regions of RACKS racks of SHARDS_PER_RACK shards, each weighing its shard count; shards beyond N_SHARDS as ``grown`` adds them."""
+    if n_shards > N_SHARDS:
+        return grown(build_tree(n_shards - 1))
     per_region = RACKS * SHARDS_PER_RACK
     regions = []
     for lo in range(0, n_shards, per_region):
@@ -101,17 +107,26 @@ def assign_shards(df: DataFrame, tree: Node, out: str = "shard", seed: str = SEE
 def number_slots(df: DataFrame, order: list[str], pieces: int = SLOT_PIECES, seed: str = SEED) -> DataFrame:
     """df with ``slot``, gapless from 0 in each shard.
 
-    A shard's rows are numbered in ``pieces`` hash pieces, each with the rows before it as
-    offset, so no task holds a whole shard. df is read twice; it should be materialized.
-    The offsets are shards x pieces rows at most.
+    A shard's rows are numbered in ``pieces`` hash pieces, each with the rows before it as offset, so
+    no task holds a whole shard. Equal rows are counted before the shuffle and numbered as one, then
+    copied; of groups beyond CHUNK rows the copies are dealt anew. The offsets are shards x pieces
+    rows at most.
     """
-    df = df.withColumn("piece_", (integer(f"{seed}|slot", *[F.coalesce(F.col(order[0]).cast("string"), F.lit(""))]) % pieces).cast("int"))
-    counts = df.groupBy("shard", "piece_").agg(F.count(F.lit(1)).alias("n_"))
+    columns = df.columns
+    place = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order])
+    piece = (integer(f"{seed}|slot", place) % pieces).cast("int")
+    groups = materialize(df.withColumn("piece_", piece).groupBy("piece_", *columns).agg(F.count(F.lit(1)).alias("n_")))
+    counts = groups.groupBy("shard", "piece_").agg(F.sum("n_").alias("n_"))
     before = Window.partitionBy("shard").orderBy("piece_").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "piece_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("offset_"))
-    rank = F.row_number().over(Window.partitionBy("shard", "piece_").orderBy(*order))
-    ranked = df.withColumn("rank_", rank)
-    return ranked.join(F.broadcast(offsets), ["shard", "piece_"]).withColumn("slot", (F.col("offset_") + F.col("rank_") - 1).cast("bigint")).drop("piece_", "offset_", "rank_")
+    inside = Window.partitionBy("shard", "piece_").orderBy(*order, *columns).rowsBetween(Window.unboundedPreceding, -1)
+    first = groups.withColumn("first_", F.coalesce(F.sum("n_").over(inside), F.lit(0)))
+    first = first.join(F.broadcast(offsets), ["shard", "piece_"]).withColumn("first_", F.col("first_") + F.col("offset_"))
+    chunks = first.withColumn("i_", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_") - 1, F.lit(CHUNK).cast("bigint"))))
+    if not groups.filter(F.col("n_") > CHUNK).isEmpty():
+        chunks = chunks.repartition("shard", "piece_", "first_", "i_")
+    each = chunks.withColumn("i_", F.explode(F.sequence("i_", F.least(F.col("i_") + CHUNK, F.col("n_")) - 1)))
+    return each.select(*columns, (F.col("first_") + F.col("i_")).cast("bigint").alias("slot"))
 
 
 def shard_report(docs: DataFrame, n_shards: int = N_SHARDS, seed: str = SEED) -> DataFrame:
@@ -126,7 +141,7 @@ def shard_report(docs: DataFrame, n_shards: int = N_SHARDS, seed: str = SEED) ->
     )
     rows = assign_shards(rows, tree, "shard", seed)
     rows = assign_shards(rows, grown(tree), "grown_shard", seed).drop("text")
-    rows = number_slots(materialize(rows), ["doc_id", "size", "text_crc32"], seed=seed)
+    rows = number_slots(rows, ["doc_id", "size", "text_crc32"], seed=seed)
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
@@ -174,9 +189,9 @@ d AS (SELECT doc_id::BIGINT AS doc_id, text, encode(coalesce(text, '')) AS b FRO
 placed AS ({more}),
 crc AS (SELECT p.* EXCLUDE (b, text), octet_length(b)::BIGINT + 16 AS size,
   xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(list_filter(regexp_extract_all(hex(b), '..'), lambda x: x <> ''), lambda x: ('0x' || x)::BIGINT)),
-    lambda c, v: xor(t[(xor(c, v) & 255) + 1], c >> 8)))::BIGINT AS text_crc32,
-  (('0x' || substr(md5('{seed}|slot|' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {SLOT_PIECES}) AS piece
-  FROM placed p, crc_table)
+    lambda c, v: xor(t[(xor(c, v) & 255) + 1], c >> 8)))::BIGINT AS text_crc32
+  FROM placed p, crc_table),
+pieces AS (SELECT *, (('0x' || substr(md5('{seed}|slot|' || concat_ws('|', coalesce(doc_id::VARCHAR, ''), size, text_crc32)), 1, 15))::BIGINT % {SLOT_PIECES}) AS piece FROM crc)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard,
   (row_number() OVER (PARTITION BY shard ORDER BY piece, doc_id NULLS FIRST, size, text_crc32) - 1)::BIGINT AS slot, grown_shard
-FROM crc"""
+FROM pieces"""

@@ -26,6 +26,10 @@ def test_growth_takes_rows_only_into_the_new_shard(spark):
         tree = more
 
 
+def test_the_shard_count_decides():
+    assert s.build_tree(42) == s.grown(s.grown(s.build_tree(40)))
+
+
 def test_weight_changes_stay_in_their_subtree(spark):
     leaf = lambda i, w=1.0: s.Node(f"s{i}", w, shard=i)
     rack = lambda name, *x: s.Node(name, 2.0, x)
@@ -57,6 +61,17 @@ def test_report(spark):
     assert len(set(seven)) == 1
 
 
+def test_repeated_and_null_ids_are_numbered_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(s, "CHUNK", 64)
+    rows = [(7, "same")] * 1000 + [(None, f"text {i}") for i in range(300)] + [(8, "w " * 2_000_000), (7, "other")]
+    out = s.shard_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    slots = defaultdict(list)
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+    assert len(out) == len(rows) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert Counter((r["doc_id"], r["text_crc32"]) for r in out) == Counter((i, zlib.crc32(t.encode())) for i, t in rows)
+
+
 def test_empty_and_clashing_columns(spark):
     assert s.shard_report(docs(spark).limit(0)).count() == 0
     out = s.assign_shards(docs(spark, 10), s.build_tree(), "shard")
