@@ -1,9 +1,68 @@
+import re
 from collections import Counter
 
 import __spark_entry__
 import corpus_pipeline as cp
+from oracle import connect
+
 from logloom.llm import decontaminate, mixing, ngram_join, quality_rules, sharding
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def passes(text, rules):
+    """The base test and the learned rules, on counts made word by word."""
+    text = text or ""
+    words = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    covered = {j for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1 for j in range(i, i + 5)}
+    if len(words) < 10 or 100 * len(covered) > 20 * len(words):
+        return False
+    letters = re.findall("[A-Za-z]", text)
+    ratio = lambda a, b: a / b if b else 0.0
+    x = {
+        "words": float(len(words)),
+        "chars_per_word": sum(map(len, words)) / len(words),
+        "symbols_per_word": len(re.findall(r"[#*$%&|<>]", text)) / len(words),
+        "marks_per_word": len(re.findall(r"[!?;:_=+~^@{}\\/]", text)) / len(words),
+        "dup_lines": ratio(len(lines) - len(set(lines)), len(lines)),
+        "repeated": len(covered) / len(words),
+        "upper": ratio(sum(c.isupper() for c in letters), len(letters)),
+        "distinct": len(set(words)) / len(words),
+        "words_per_line": ratio(len(words), len(lines)),
+    }
+    return not any(all(x[c.feature] > c.threshold if c.above else x[c.feature] <= c.threshold for c in rule) for rule in rules)
+
+
+def test_rows_equal_brute_force(spark, sf_dir):
+    """Every stage stated anew: counts word by word, then SQL that tries all pairs, all alignments, all copies and the tree."""
+    con = connect(sf_dir)
+    con.execute(f"CREATE TABLE docs AS SELECT * FROM read_parquet('{sf_dir}/documents.parquet')")
+    con.execute("CREATE OR REPLACE VIEW documents AS SELECT * FROM docs")
+    assert con.execute("SELECT count(*) = count(DISTINCT doc_id) FROM docs").fetchone()[0]
+
+    def keep(sql):
+        con.execute(f"CREATE TABLE next_ AS {sql}")
+        before, after = (con.execute(f"SELECT count(*) FROM {t}").fetchone()[0] for t in ("docs", "next_"))
+        con.execute("DROP VIEW documents; DROP TABLE docs; ALTER TABLE next_ RENAME TO docs; CREATE VIEW documents AS SELECT * FROM docs")
+        return before, after
+
+    rules = quality_rules.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), stats=None)
+    good = [i for i, t in con.execute("SELECT doc_id, text FROM docs").fetchall() if passes(t, rules)]
+    dropped = [
+        keep(f"SELECT * FROM docs WHERE doc_id IN ({', '.join(map(str, good))})"),
+        keep(f"SELECT * FROM docs WHERE doc_id IN (SELECT doc_id FROM ({ngram_join.oracle_sql()}) WHERE n_shingles = 0 OR doc_id = component_id)"),
+        keep(f"SELECT * FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM ({decontaminate.oracle_sql()}))"),
+    ]
+    assert all(a > b > 0 for a, b in dropped)
+    keep(f"SELECT * EXCLUDE (copy_no, shuffle_key) FROM ({mixing.sql_mix('docs')})")
+    want = con.execute(sharding.sql_shard(sharding.build_tree(sharding.N_SHARDS), "docs", "doc_id::VARCHAR", "shard")).fetchall()
+    columns = [c[0] for c in con.description]
+    got = cp.run(spark, sf_dir)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(repr, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(repr, want))
+
 
 def test_stages_take_effect_one_after_another(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
