@@ -108,6 +108,11 @@ def lookup_newest(runs: DataFrame, keys: DataFrame) -> DataFrame:
     return newest(runs.join(keys, "k"), "k").filter("op = 0").select("k", "v", "ts")
 
 
+def lookup_segment(segment: DataFrame, keys: DataFrame) -> DataFrame:
+    """k, found, v, ts, op of each key in one segment's newest records alone; a tombstone is found too, and tells not to look further."""
+    return keys.join(newest(segment, "k").select("k", "v", "ts", "op", F.lit(True).alias("found")), "k", "left").select("k", F.coalesce("found", F.lit(False)).alias("found"), "v", "ts", "op")
+
+
 def lookup_oldest_run(runs: DataFrame) -> DataFrame:
     """What a probe of runs from old to new answers first: each key's record in its oldest run."""
     return runs.groupBy("k").agg(F.min(F.struct("seg", "v", "ts", "op")).alias("r_")).select("k", "r_.*")

@@ -16,7 +16,8 @@ FAN_IN = 4
 RECORD_OVERHEAD = 17
 ENTRY_OVERHEAD = 9
 
-_PIECES = 64
+#: Pieces that a log's running sum is cut into at least, and the log positions of a piece at most.
+_PIECES, _PIECE_ROWS = 64, 1 << 18
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,18 +53,20 @@ def segmented(log: DataFrame, budget: int = FLUSH_BYTES) -> DataFrame:
     """log with ``seg``, the number of the byte budget that a row's start falls into, in seq order.
 
     The running sum has two levels: rows are summed inside pieces of the seq range, and the pieces'
-    totals, _PIECES rows, are summed before them; so no task holds the whole log.
+    totals are summed before them. A piece spans _PIECE_ROWS positions at most, and no two rows
+    share one, so no task holds the whole log whatever its size. Rows and totals are dealt by piece
+    alike, so the join adds no shuffle of rows.
     """
     sized = log.withColumn("b_", (F.lit(ENTRY_OVERHEAD) + F.octet_length("k") + F.coalesce(F.octet_length("v"), F.lit(0))).cast("bigint"))
     ends = log.agg(F.struct(F.min("seq").alias("low"), F.max("seq").alias("high")).alias("e")).scalar()
     low, high = ends["low"], ends["high"]
-    width = F.greatest(F.lit(1), F.ceil((high - low + 1) / _PIECES))
+    width = F.greatest(F.lit(1), F.least(F.lit(_PIECE_ROWS), F.ceil((high - low + 1) / _PIECES)))
     pieces = sized.withColumn("piece_", F.floor((F.col("seq") - low) / width))
     before = Window.orderBy("piece_").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.groupBy("piece_").agg(F.sum("b_").alias("sum_")).select("piece_", F.coalesce(F.sum("sum_").over(before), F.lit(0)).alias("before_"))
     inside = Window.partitionBy("piece_").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     run = F.coalesce(F.sum("b_").over(inside), F.lit(0)) + F.col("before_")
-    return pieces.join(F.broadcast(offsets), "piece_").withColumn("seg", F.floor(run / F.lit(budget)).cast("bigint")).drop("b_", "piece_", "before_")
+    return pieces.join(offsets, "piece_").withColumn("seg", F.floor(run / F.lit(budget)).cast("bigint")).drop("b_", "piece_", "before_")
 
 
 def newest(log: DataFrame, *keys: str) -> DataFrame:

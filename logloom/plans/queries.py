@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from logloom.functions import bloom
 from logloom.operators import runs as ops
 from logloom.plans import logs
-from logloom.sources import requests
+from logloom.sources import binary, requests
 from logloom.sources.storage import shared_dir
 from logloom.streaming import ingest
 
@@ -241,6 +241,14 @@ def lookup_oldest_run_first(spark, sf_dir):
     return ops.lookup_oldest_run(logs.runs(logs.log_user(spark, sf_dir)))
 
 
+@query("memtable_lookup", f"{_user()} SELECT u.k, l.k IS NOT NULL AS found, v, ts, op FROM (SELECT DISTINCT k FROM log) u LEFT JOIN (SELECT * FROM lat WHERE seg = (SELECT max(seg) FROM seg)) l ON u.k = l.k")
+def memtable_lookup(spark, sf_dir):
+    """Every key of the log, asked of the open segment alone."""
+    log = logs.log_user(spark, sf_dir)
+    seg = logs.segmented(log)
+    return ops.lookup_segment(seg.filter(F.col("seg") == seg.agg(F.max("seg")).scalar()), log.select("k").distinct())
+
+
 # merges and clean-up
 
 
@@ -300,6 +308,12 @@ def _user_keys(spark, sf_dir):
     return logs.log_user(spark, sf_dir).select("k", F.col("k").cast("binary").alias("key")).distinct()
 
 
+def _bits(masks):
+    places = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(BLOOM.m - 1).cast("bigint")))
+    bits = masks.select("bitmap", places.alias("p"), "bucket").filter(F.bitmap_bucket_number(F.col("p") + 1) == F.col("bucket"))
+    return bits.filter(bloom.is_set(F.col("bitmap"), F.col("p"))).select("p")
+
+
 @query("bloom_params", "WITH c AS (SELECT 1000::BIGINT AS n, unnest([0.01, 0.005, 0.5, 1.5]) AS p), q AS (SELECT n, p, CASE WHEN p > 0 AND p < 1 THEN p ELSE 0.01 END AS own FROM c), r AS (SELECT n, p, floor(-n * ln(own) / pow(ln(2), 2))::BIGINT AS m FROM q) SELECT n, p::DOUBLE AS p, m, ceil(m::DOUBLE / n * ln(2))::BIGINT AS k FROM r")
 def bloom_params(spark, sf_dir):
     rates = (0.01, 0.005, 0.5, 1.5)
@@ -314,9 +328,7 @@ def bloom_positions(spark, sf_dir):
 
 @query("bloom_mask_bits", f"{_KEYS} SELECT p FROM bits")
 def bloom_mask_bits(spark, sf_dir):
-    masks = bloom.masks(_user_keys(spark, sf_dir), "key", BLOOM)
-    bits = masks.select("bitmap", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(BLOOM.m - 1).cast("bigint"))).alias("p"), "bucket").filter(F.bitmap_bucket_number(F.col("p") + 1) == F.col("bucket"))
-    return bits.filter(bloom.is_set(F.col("bitmap"), F.col("p"))).select("p")
+    return _bits(bloom.masks(_user_keys(spark, sf_dir), "key", BLOOM))
 
 
 @query("bloom_maybe_contains", f"{_KEYS}, {_HITS} SELECT k FROM hits")
@@ -331,6 +343,13 @@ def bloom_false_positives(spark, sf_dir):
     return bloom_maybe_contains(spark, sf_dir).join(_user_keys(spark, sf_dir).select("k"), "k", "left_anti").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("bloom_add", f"{_user(False)}, {_SEEDS}, keys AS (SELECT DISTINCT k FROM log UNION SELECT DISTINCT o_custkey::VARCHAR FROM orders) SELECT DISTINCT {_POSITION} AS p FROM keys, starts s")
+def bloom_add(spark, sf_dir):
+    """Bits of the users' filter after the customers of the orders have been added to it."""
+    more = logs.log_order(spark, sf_dir).select(F.col("k").cast("binary").alias("key")).distinct()
+    return _bits(bloom.union_masks(bloom.masks(_user_keys(spark, sf_dir), "key", BLOOM), bloom.masks(more, "key", BLOOM)))
+
+
 # recovery and streaming
 
 
@@ -356,6 +375,20 @@ def wal_replay_unflushed(spark, sf_dir):
     return ops.replayed(seg.filter(F.col("seg") > seg.agg(F.max("seg") - 3).scalar())).select("k", "v", "ts", "op")
 
 
+@query("binary_log_records", f"{_user()} SELECT 'wal_' || seg::VARCHAR || '.log' AS path, (row_number() OVER (PARTITION BY seg ORDER BY seq) - 1)::BIGINT AS pos, op, ts, k, v FROM seg")
+def binary_log_records(spark, sf_dir):
+    """What a scan decodes of the segments' binary log files."""
+    found = binary.records_of(binary.log_files(logs.segmented(logs.log_user(spark, sf_dir))))
+    return found.select("path", "pos", F.col("op").cast("int").alias("op"), "ts", F.col("key").cast("string").alias("k"), F.col("value").cast("string").alias("v"))
+
+
+@query("binary_run_headers", lambda: f"{_user()}, {_MANIFEST}, {_seeds(RUN_BLOOM)}, bits AS (SELECT seg, count(DISTINCT {_position(RUN_BLOOM.m)})::BIGINT AS n_bits FROM lat, starts s GROUP BY seg) SELECT 'sst_' || man.seg::VARCHAR AS path, man.seg AS id, created_seq AS created_at, min_key, max_key, n_records, ceil(n_records / 20.0)::BIGINT AS n_index, n_bits FROM man JOIN bits ON man.seg = bits.seg")
+def binary_run_headers(spark, sf_dir):
+    """Metadata, index and filter sizes as read back from the runs' binary files."""
+    found = binary.run_headers(binary.run_files(logs.runs(logs.log_user(spark, sf_dir)), RUN_BLOOM))
+    return found.select("path", "id", "created_at", F.col("min_key").cast("string").alias("min_key"), F.col("max_key").cast("string").alias("max_key"), "n_records", "n_index", "n_bits")
+
+
 @query("newest_wal", "SELECT arg_max('wal_' || o_orderkey::VARCHAR || '.log', (o_orderdate, o_orderkey)) AS path FROM orders")
 def newest_wal(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")

@@ -7,10 +7,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logloom.functions.bloom import FNV_PRIME, BloomConfig, seed_state
 
 RECORDS = "path string, pos long, op byte, ts long, key binary, value binary"
+HEADERS = "path string, id long, level int, created_at long, min_key binary, max_key binary, n_records long, n_index long, n_bits long"
 #: Fixed values of the run layout.
 DATA_START = 22
 INDEX_STEP = 20
@@ -85,10 +87,51 @@ def _rows(batches: Iterator[pd.DataFrame], runs: bool) -> Iterator[pd.DataFrame]
             yield pd.DataFrame([(path, i, op, ts, key, value) for i, (_, op, ts, key, value) in enumerate(found)], columns=["path", "pos", "op", "ts", "key", "value"])
 
 
+def _encoded(pdf: pd.DataFrame, runs: bool, level: int, config: BloomConfig | None) -> pd.DataFrame:
+    texts = [[(x or "").encode() for x in pdf[c]] for c in ("k", "v")]
+    records = sorted(zip(pdf["seq"], pdf["op"], pdf["ts"], *texts, strict=True))
+    seg = int(pdf["seg"].iloc[0])
+    if runs:
+        return pd.DataFrame({"path": [f"sst_{seg}"], "content": [encode_run(seg, level, int(records[-1][0]), [r[1:] for r in records], config)]})
+    return pd.DataFrame({"path": [f"wal_{seg}.log"], "content": [b"".join(encode_record(*r[1:]) for r in records)]})
+
+
+def log_files(segments: DataFrame) -> DataFrame:
+    """path and content of the log file of each segment (seg, k, v, ts, seq, op), in log order; a segment has the store's flush size."""
+    return segments.select("seg", "k", "v", "ts", "seq", "op").groupBy("seg").applyInPandas(lambda pdf: _encoded(pdf, False, 0, None), "path string, content binary")
+
+
+def run_files(runs: DataFrame, config: BloomConfig, level: int = 0) -> DataFrame:
+    """path and content of the run file of each run (seg, k, v, ts, seq, op); a run has the store's flush size."""
+    return runs.select("seg", "k", "v", "ts", "seq", "op").groupBy("seg").applyInPandas(lambda pdf: _encoded(pdf, True, level, config), "path string, content binary")
+
+
+def records_of(files: DataFrame, runs: bool = False) -> DataFrame:
+    """The records of log or run files (path, content), in file order."""
+    return files.select("path", "content").mapInPandas(lambda b: _rows(b, runs), RECORDS)
+
+
+def run_headers(files: DataFrame) -> DataFrame:
+    """Of each run file (path, content): id, level, created_at, key range, records, indexed keys and set bits of the mask."""
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [decode_run(data) for data in pdf["content"]]
+            yield pd.DataFrame([(path, r["id"], r["level"], r["created_at"], r["min_key"], r["max_key"], len(r["records"]), len(r["index"]), int.from_bytes(r["mask"], "little").bit_count()) for path, r in zip(pdf["path"], found, strict=True)], columns=[c.split()[0] for c in HEADERS.split(", ")])
+
+    return files.select("path", "content").mapInPandas(heads, HEADERS)
+
+
+def newest_file(spark: SparkSession, path: str, pattern: str = "wal_*.log") -> DataFrame:
+    """path of the file that was changed last, of equal ones the last by name; contents are not read."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return listed.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"))
+
+
 def read_logs(spark: SparkSession, path: str, pattern: str = "wal_*.log") -> DataFrame:
     """Records of log files, in file order; files are bounded by the store's flush size."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content").mapInPandas(lambda b: _rows(b, False), RECORDS)
+    return records_of(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path))
 
 
 def read_runs(spark: SparkSession, path: str, pattern: str = "sst_*") -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content").mapInPandas(lambda b: _rows(b, True), RECORDS)
+    return records_of(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path), runs=True)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logloom.operators.runs import lookup_segment
 from logloom.plans.logs import newest
 from logloom.sources.config import StoreConfig
 
@@ -205,12 +206,13 @@ class Store:
             self._fs.delete(self._at(f"claims/{name}"), False)
         return gone
 
-    def start_gc(self, period: float, min_age: float | None = None) -> threading.Event:
-        """Sweeps every period seconds until the event that is returned is set."""
+    def start_gc(self, period: float | None = None, min_age: float | None = None) -> threading.Event:
+        """Sweeps every period seconds (that of the settings) until the event that is returned is set."""
         stop = threading.Event()
+        wait = self.config.gc_period if period is None else period
 
         def sweep() -> None:
-            while not stop.wait(period):
+            while not stop.wait(wait):
                 self.gc(min_age)
 
         threading.Thread(target=sweep, daemon=True).start()
@@ -224,6 +226,10 @@ class Store:
     def live(self) -> DataFrame:
         return newest(self.records(), "k").filter("op = 0").select("k", "v", "ts")
 
+    def get_unflushed(self, keys: DataFrame) -> DataFrame:
+        """k, found, v, ts, op of each key in the unflushed segments alone."""
+        return lookup_segment(self._segments(self.unflushed()), keys.select("k"))
+
     def get(self, keys: DataFrame) -> DataFrame:
         """k and v of each key of ``keys``, v null where the store has none; only runs whose range meets the keys' are read."""
         ends = keys.agg(F.min("k"), F.max("k")).first()

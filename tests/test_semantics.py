@@ -78,6 +78,26 @@ def test_segments_are_those_of_one_running_sum(spark):
     assert logs.segmented(frame(spark, [])).count() == 0
 
 
+def test_long_logs_have_pieces_of_bounded_size(spark, monkeypatch):
+    rows = [(3 * i, f"k{i % 9}", "v" * (i % 50), i, 0) for i in range(500)]
+    want = sorted(map(tuple, logs.segmented(frame(spark, rows), 300).collect()))
+    monkeypatch.setattr(logs, "_PIECE_ROWS", 5)
+    assert sorted(map(tuple, logs.segmented(frame(spark, rows), 300).collect())) == want
+
+
+def test_one_segment_alone(spark):
+    segment = frame(spark, [(1, "a", "x", 1, 0), (2, "a", None, 2, 1), (3, "b", "y", 1, 0)])
+    keys = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
+    assert {tuple(r) for r in ops.lookup_segment(segment, keys).collect()} == {("a", True, None, 2, 1), ("b", True, "y", 1, 0), ("c", False, None, None, None)}
+
+
+def test_newest_file(spark, tmp_path):
+    for i, name in enumerate(["wal_2.log", "wal_1.log", "wal_0.log", "other"]):
+        (tmp_path / name).write_bytes(b"x")
+        __import__("os").utime(tmp_path / name, (1000 + min(i, 1), 1000 + min(i, 1)))
+    assert binary.newest_file(spark, str(tmp_path)).first()["path"].endswith("/wal_1.log")
+
+
 def test_bloom_matches_bytes_and_has_no_false_negatives(spark):
     config = bloom.optimal(50, 0.02)
     keys = ["", "a", "é", "key 10", "z" * 300] + [str(i) for i in range(45)]
@@ -156,6 +176,8 @@ def test_store_equals_a_dictionary(spark, tmp_path):
 def test_store_commits_do_not_overwrite_each_other(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s")
     store.put(spark.createDataFrame([("a", "1", 1)], "k string, v string, ts long"))
+    asked = spark.createDataFrame([("a",)], "k string")
+    assert [r["found"] for r in store.get_unflushed(asked).collect()] == [True]
     seen = store.version()
     store.flush()
     with pytest.raises(RuntimeError):
@@ -207,6 +229,12 @@ def test_config(tmp_path, monkeypatch):
     (tmp_path / "config.yaml").write_text("flush_bytes: 1024  # small\nfan_in: 3\nother: 1\n")
     monkeypatch.setenv("CONFIG_DIR", str(tmp_path))
     assert load_config() == StoreConfig(flush_bytes=1024, fan_in=3)
+    nested = tmp_path / "nested.yaml"
+    nested.write_text("memtable:\n  maxSize: 2048 # bytes\n\nsstmanager:\n  flushSize: 6\n  clearTime: 7\n  bloom:\n    expectedElements: 1000\n    falsePositiveRate: 0.01\nwal:\n  walPrefix: \"w_\"\nsstPrefix: s_\n")
+    monkeypatch.setenv("CONFIG_DIR", str(nested))
+    got = load_config()
+    assert got == StoreConfig(flush_bytes=2048, fan_in=6, gc_period=7.0, bloom_keys=1000, bloom_fpr=0.01, log_prefix="w_", run_prefix="s_")
+    assert got.bloom == bloom.optimal(1000, 0.01)
     monkeypatch.delenv("CONFIG_DIR")
     assert load_config() == StoreConfig()
 
