@@ -58,10 +58,9 @@ def segmented(log: DataFrame, budget: int = FLUSH_BYTES) -> DataFrame:
     alike, so the join adds no shuffle of rows.
     """
     sized = log.withColumn("b_", (F.lit(ENTRY_OVERHEAD) + F.octet_length("k") + F.coalesce(F.octet_length("v"), F.lit(0))).cast("bigint"))
-    ends = log.agg(F.struct(F.min("seq").alias("low"), F.max("seq").alias("high")).alias("e")).scalar()
-    low, high = ends["low"], ends["high"]
-    width = F.greatest(F.lit(1), F.least(F.lit(_PIECE_ROWS), F.ceil((high - low + 1) / _PIECES)))
-    pieces = sized.withColumn("piece_", F.floor((F.col("seq") - low) / width))
+    width = F.greatest(F.lit(1), F.least(F.lit(_PIECE_ROWS), F.ceil((F.max("seq") - F.min("seq") + 1) / _PIECES)))
+    ends = log.agg(F.struct(F.min("seq").alias("low"), width.alias("width")).alias("e")).scalar()
+    pieces = sized.withColumn("piece_", F.floor((F.col("seq") - ends["low"]) / ends["width"]))
     before = Window.orderBy("piece_").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.groupBy("piece_").agg(F.sum("b_").alias("sum_")).select("piece_", F.coalesce(F.sum("sum_").over(before), F.lit(0)).alias("before_"))
     inside = Window.partitionBy("piece_").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
