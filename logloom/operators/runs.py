@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logloom.functions import bloom
+from logloom.functions import bloom, bloom_slices
 from logloom.plans.logs import FAN_IN, INDEX_STEP, RECORD_OVERHEAD, last_by, newest
 
 #: Probes' runs that are broadcast at most; more are joined by shuffle.
@@ -118,17 +118,26 @@ def lookup_oldest_run(runs: DataFrame) -> DataFrame:
     return runs.groupBy("k").agg(F.min(F.struct("seg", "v", "ts", "op")).alias("r_")).select("k", "r_.*")
 
 
+def _asked(runs: DataFrame, keys: DataFrame, config: bloom.BloomConfig) -> DataFrame:
+    """seg and k of each key and the runs whose range holds it and whose filter may."""
+    ranges = manifest(runs).select("seg", "min_key", "max_key")
+    inside = (F.col("k") >= F.col("min_key")) & (F.col("k") <= F.col("max_key"))
+    if config.m <= bloom_slices.MAX_BITS:
+        hits = bloom_slices.maybe_contains(keys, runs.select(F.col("seg").alias("g"), "k"), config)
+        return hits.withColumnRenamed("g", "seg").join(ranges, "seg").filter(inside).select("seg", "k")
+    probes = keys.join(ranges, inside).select("seg", F.col("k").cast("binary").alias("key"))
+    masks = bloom.masks(runs.select("seg", F.col("k").cast("binary").alias("key")), "key", config, "seg")
+    return bloom.maybe_contains(probes, "key", masks, config, "seg").select("seg", F.col("key").cast("string").alias("k"))
+
+
 def lookup_pruned(runs: DataFrame, keys: DataFrame, config: bloom.BloomConfig) -> DataFrame:
     """As lookup_newest, but of each key only runs are read whose range holds it and whose filter may.
 
-    keys has k. Returns k, v, ts, and n_runs, the runs that were probed. A key meets the runs of its
-    range by a join on the range's manifest rows, then their filters by run, then their records by
-    run and key.
+    keys has k; a run has one record of each of its keys. Returns k, v, ts, and n_runs, the runs that were probed. Keys meet the filters of many
+    runs at once, bit by bit; only the pairs that are left meet the runs' ranges, then their records by
+    run and key. Filters of more than bloom_slices.MAX_BITS bits are met pair by pair, after the ranges.
     """
-    ranges = manifest(runs).select("seg", "min_key", "max_key")
-    probes = keys.select("k").distinct().join(ranges, (F.col("k") >= F.col("min_key")) & (F.col("k") <= F.col("max_key"))).select("seg", "k")
-    masks = bloom.masks(runs.select("seg", F.col("k").cast("binary").alias("key")), "key", config, "seg")
-    asked = bloom.maybe_contains(probes.select("seg", "k", F.col("k").cast("binary").alias("key")), "key", masks, config, "seg").select("seg", F.col("key").cast("string").alias("k"))
-    hits = runs.join(asked, ["seg", "k"])
-    counts = asked.groupBy("k").agg(F.count(F.lit(1)).alias("n_runs"))
-    return newest(hits, "k").filter("op = 0").select("k", "v", "ts").join(counts, "k")
+    asked = _asked(runs, keys.select("k").filter("k is not null").distinct(), config)
+    found = runs.select("seg", "k", F.struct("ts", "seq", "v", "op").alias("r_"))
+    best = asked.join(found, ["seg", "k"], "left").groupBy("k").agg(F.max("r_").alias("r_"), F.count(F.lit(1)).alias("n_runs"))
+    return best.filter("r_.op = 0").select("k", "r_.v", "r_.ts", "n_runs")

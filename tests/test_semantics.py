@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.functions import bloom
+from logloom.functions import bloom, bloom_slices
 from logloom.operators import runs as ops
 from logloom.plans import logs, queries
 from logloom.sources import binary, requests
@@ -242,3 +242,58 @@ def test_config(tmp_path, monkeypatch):
 def test_lookup_of_all_keys_leaves_no_user_out(spark, sf_dir):
     got = sorted(map(tuple, queries.QUERIES["lookup_newest"](spark, sf_dir).collect()))
     assert got == sorted(map(tuple, queries.QUERIES["live_view_user"](spark, sf_dir).collect()))
+
+
+def _pruned_by_hand(rows, config):
+    """k, v, ts and n_runs of each key of rows (seg, k, v, ts, seq, op), its filters made byte by byte."""
+    runs = {}
+    for r in rows:
+        runs.setdefault(r[0], {})[r[1]] = r
+    masks = {seg: int.from_bytes(binary.bloom_mask([k.encode() for k in recs], config), "little") for seg, recs in runs.items()}
+    out = set()
+    for k in {r[1] for r in rows}:
+        own = int.from_bytes(binary.bloom_mask([k.encode()], config), "little")
+        asked = [s for s, recs in runs.items() if min(recs, key=str.encode).encode() <= k.encode() <= max(recs, key=str.encode).encode() and masks[s] & own == own]
+        last = max((runs[s][k] for s in asked if k in runs[s]), key=lambda r: (r[3], r[4]))
+        if last[5] == 0:
+            out.add((k, last[2], last[3], len(asked)))
+    return out
+
+
+@pytest.mark.parametrize("config", [bloom.optimal(8, 0.3), bloom.optimal(100, 0.01), bloom.BloomConfig(40_000, 3), bloom.BloomConfig(600_000, 3)])
+def test_pruned_lookup_equals_filters_byte_by_byte(spark, monkeypatch, config):
+    monkeypatch.setattr(bloom_slices, "BLOCK", 128)
+    monkeypatch.setattr(bloom_slices, "STRIPE", 64)
+    monkeypatch.setattr(bloom_slices, "KEYS", 50)
+    rng = random.Random(5)
+    names = ["", "é", "z" * 300, "￿", "𐀀"] + [str(i) for i in range(150)]
+    rows, seq = [], 0
+    for seg in [*range(150), 1000]:  # blocks of two stripes of 64: a full one, a part, and one far off
+        for k in rng.sample(names, rng.randint(1, 12)):
+            seq += 1
+            op = int(rng.random() < 0.2)
+            rows.append((seg, k, None if op else f"v{seq}", rng.randint(1, 500), seq, op))
+    runs = spark.createDataFrame([*rows, (3, None, "x", 1, 0, 0)], "seg long, k string, v string, ts long, seq long, op int")
+    keys = spark.createDataFrame([(k,) for k in [*names, None, "absent", names[0]]], "k string")
+    got = ops.lookup_pruned(runs, keys, config)
+    assert got.columns == ["k", "v", "ts", "n_runs"]
+    assert {tuple(r) for r in got.collect()} == _pruned_by_hand(rows, config)
+
+
+def _most_rows(node):
+    """The largest number of rows that an operator of a plan that has run put out."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _most_rows(node.executedPlan())
+    below = [_most_rows(node.plan())] if kind.endswith("QueryStageExec") else [_most_rows(node.children().apply(i)) for i in range(node.children().size())]
+    own = node.metrics().get("numOutputRows")
+    return max([own.get().value() if own.isDefined() else 0, *below])
+
+
+def test_pruned_lookup_makes_no_row_for_each_pair_of_key_and_run(spark, tmp_path):
+    record = [(F.col("id") % 600).alias("seg"), (F.col("id") * 7919 % 601).cast("string").alias("k"), F.lit("v").alias("v"), F.lit(1).cast("bigint").alias("ts"), F.col("id").alias("seq"), F.lit(0).alias("op")]
+    spark.range(6000).select(*record).write.parquet(str(tmp_path / "runs"))
+    runs = spark.read.parquet(str(tmp_path / "runs"))
+    out = ops.lookup_pruned(runs, runs.select("k").distinct(), bloom.optimal(100, 0.01))
+    assert len(out.collect()) == 601
+    assert _most_rows(out._jdf.queryExecution().executedPlan()) < 3 * 6000  # 600 runs and 601 keys are 360,600 pairs
